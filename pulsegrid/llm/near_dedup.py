@@ -29,7 +29,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pulsegrid.llm import words
 from pulsegrid.llm.shared import connected_components, join_unique, save
@@ -39,6 +38,10 @@ BITS = 32
 MAX_SEEDS = 32
 TILE_SHINGLES = 300_000
 TILE_DOCS = 2_000
+DOCS_PER_OWNER = 4_000
+FLUSH_KEYS = 4_000_000
+KEY_BYTES = 5
+_LOOKUPS_SQL = "owner long, nodes binary, counts binary, keys binary"
 
 
 @lru_cache(maxsize=None)
@@ -181,21 +184,74 @@ def _sizes(width: int):
     return run
 
 
-def _lookups(width: int, percent: int, errors: int):
+_LOOKUPS = pa.schema([("owner", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """The upper KEY_BYTES bytes of each key; its owner has the rest. Equal keys stay equal; a chance match is only verified in vain."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES :]).tobytes()
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
+    wide[:, 8 - KEY_BYTES :] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
+    return wide.view("<u8").reshape(-1)
+
+
+def _lookups(width: int, percent: int, errors: int, owners: int):
+    """For each owner of keys one row a flush: nodes, how many of its keys each has, and the keys."""
+
+    def flush(nodes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        node, key = np.concatenate(nodes), np.concatenate(keys)
+        owner = (key % np.uint64(owners)).astype(np.int64)
+        order = np.lexsort((node, owner))
+        node, key, owner = node[order], key[order], owner[order]
+        cut = np.flatnonzero(np.diff(owner)) + 1
+        rows = []
+        for a, b in zip([0, *cut], [*cut, len(owner)]):
+            own = node[a:b]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            counts = np.diff(np.concatenate([first, [b - a]])).astype("<u4")
+            rows.append((int(owner[a]), own[first].astype("<u8").tobytes(), counts.tobytes(), pack_keys(key[a:b])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LOOKUPS)], schema=_LOOKUPS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, keys, held = [], [], 0
         for batch in batches:
             for part in words.slices(batch.column("text"), lower=True):
                 _, h, at = words.shingles(part, width)
                 node = node_of(h, at)
-                _, once = np.unique(node, return_index=True)  # copies within a batch are looked up once
+                _, once = np.unique(node, return_index=True)  # copies are looked up once
                 size = np.diff(at)[once]
                 take = np.repeat(at[once] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 row, key = chunk_keys(h[take], np.concatenate([[0], np.cumsum(size)]), percent, errors)
-                yield pa.RecordBatch.from_arrays([_as_long(key), _as_long(node[once][row])], ["key", "node"])
+                nodes.append(node[once][row])
+                keys.append(key)
+                held += len(key)
+                if held >= FLUSH_KEYS:
+                    yield from flush(nodes, keys)
+                    nodes, keys, held = [], [], 0
+        if held:
+            yield from flush(nodes, keys)
 
     return run
 
 
+def _meet(group: pa.Table) -> pa.Table:
+    """(a, b) once: documents of an owner that share a key, each with the least node of the key."""
+    nodes = [np.frombuffer(x, "<u8") for x in group.column("nodes").to_pylist()]
+    counts = [np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()]
+    node = np.concatenate([np.repeat(n, c) for n, c in zip(nodes, counts)])
+    key = np.concatenate([unpack_keys(x) for x in group.column("keys").to_pylist()])
+    order = np.lexsort((node, key))
+    node, key = node[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    least = np.repeat(node[first], np.diff(np.concatenate([first, [len(key)]])))
+    met = node != least
+    pair = np.unique(np.stack([node[met], least[met]], 1), axis=0)
+    return pa.table({"a": _as_long(pair[:, 0]), "b": _as_long(pair[:, 1])})
+
+
 def _tile(width: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         found_a, found_b = [], []
@@ -234,9 +290,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, errors:
         ),
         "sized",
     )
-    keys = text.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_lookups(width, percent, errors), "key long, node long")
-    met = keys.withColumn("least", F.min("node").over(Window.partitionBy("key"))).filter("node <> least")
-    clusters = connected_components(met.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    owners = max(16, -(-docs.count() // DOCS_PER_OWNER))
+    keys = text.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_lookups(width, percent, errors, owners), _LOOKUPS_SQL)
+    clusters = connected_components(keys.groupBy("owner").applyInArrow(_meet, "a long, b long"))
     links = _confirmed(text, sized, clusters, percent, width)
     roots = connected_components(links)
 
