@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-_MODULES = ["near_dedup"]
-
+from pyspark.sql import functions as F
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -20,8 +17,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), percent=85)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pulsegrid.llm.byte_bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = decode(encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {"op5_minhash_near_dedup": op5_minhash_near_dedup, "op6_byte_bpe": op6_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
