@@ -50,8 +50,8 @@ def class_plan(size_class: int, percent: int, errors: int) -> tuple[int, int, in
     largest = max(1, math.ceil((100 / percent) ** (size_class + 1)) - 1)
     k = 2 * largest * (100 - percent) // (100 + percent)
     must = k // (errors + 1) + 1
-    slack = math.ceil(0.2 * must)
-    return must + slack, slack, 3 if must > 10 else 2 if must > 4 else 1
+    slack = math.ceil(0.25 * must)  # the least sizes of a class have 3.5 shingles a chunk, and then 13 % of chunks have under two
+    return must + slack, slack, 2 if must > 4 else 1
 
 
 def size_classes(sizes: np.ndarray, percent: int) -> np.ndarray:
