@@ -23,10 +23,10 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.shared import save
+from pulsegrid.llm.shared import save_bucketed
 
-BLOCK_TOKENS = 8_000_000
-BLOCK_WORDS = 400_000
+BLOCK_TOKENS = 5_000_000
+BLOCK_WORDS = 300_000
 CHUNK_TOKENS = 500_000
 DOCS_PER_OWNER = 4_000
 
@@ -121,8 +121,7 @@ def _stations(pattern_text: str, owners: int) -> Callable:
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             by_owner = defaultdict(lambda: ([], []))
-            for word, n in numbers.items():
-                raw = word.encode()
+            for raw, n in sorted((word.encode(), n) for word, n in numbers.items()):  # neighbours compress well
                 words, ns = by_owner[zlib.crc32(raw) % owners]
                 words.append(raw)
                 ns.append(n)
@@ -183,38 +182,64 @@ def _owner(ranks_file: Broadcast, pattern_text: str) -> Callable:
     return run
 
 
-def _reassemble(documents: pa.Table, answers: pa.Table) -> pa.Table:
-    numbers = [unpack(b) for b in answers.column("numbers").to_pylist()]
-    counts = [unpack(b) for b in answers.column("counts").to_pylist()]
-    flat = np.concatenate([unpack(b) for b in answers.column("flat").to_pylist()] or [np.zeros(0, np.uint32)])
-    number, count = (np.concatenate(x or [np.zeros(0, np.uint32)]).astype(np.int64) for x in (numbers, counts))
-    begin, size = np.zeros((2, len(number)), np.int64)
-    size[number] = count
-    begin[number] = np.cumsum(count) - count
-    doc_ids, n_tokens, ids = [], [], []
-    for i in range(documents.num_rows):
-        positions = unpack(documents.column("payload")[i].as_py())
-        per_word = size[positions]
-        tokens = gather(flat, begin[positions], per_word).astype("<u4").tobytes()
-        ends = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(documents.column("sizes")[i].as_py())]).astype(np.int64)]
-        doc_ids += documents.column("doc_ids")[i].as_py()
-        n_tokens += np.diff(ends).tolist()
-        ids += [tokens[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary())})
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def _bytes_of(tokens: np.ndarray, table: tuple[bytes, np.ndarray]) -> tuple[bytes, np.ndarray]:
+    """The bytes of ids by the token-byte table, and where each id's bytes end."""
+    joined, size = table
+    begin = np.cumsum(size) - size
+    ends = np.cumsum(size[tokens])
+    flat = np.frombuffer(joined, np.uint8)
+    parts = [gather(flat, begin[t], size[t]).tobytes() for t in np.array_split(tokens, max(1, len(tokens) // 200_000))]
+    return b"".join(parts), ends
+
+
+def _reassemble(table: Broadcast | None) -> Callable:
+    def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        numbers = [unpack(b) for b in answers.column("numbers").to_pylist()]
+        counts = [unpack(b) for b in answers.column("counts").to_pylist()]
+        flat = np.concatenate([unpack(b) for b in answers.column("flat").to_pylist()] or [np.zeros(0, np.uint32)])
+        number, count = (np.concatenate(x or [np.zeros(0, np.uint32)]).astype(np.int64) for x in (numbers, counts))
+        begin, size = np.zeros((2, len(number)), np.int64)
+        size[number] = count
+        begin[number] = np.cumsum(count) - count
+        out = []
+        for i in range(documents.num_rows):
+            positions = unpack(documents.column("payload")[i].as_py())
+            per_word = size[positions]
+            tokens = gather(flat, begin[positions], per_word)
+            sizes = np.array(documents.column("sizes")[i].as_py(), np.int64)
+            ends = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum(sizes)]
+            raw = tokens.astype("<u4").tobytes()
+            starts = np.concatenate([[0], ends[:-1]])
+            columns = {
+                "doc_id": documents.column("doc_ids")[i].values,
+                "n_tokens": pa.array(ends - starts),
+                "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
+            }
+            if table is not None:
+                text, at = _bytes_of(tokens.astype(np.int64), table.value)
+                at = np.concatenate([[0], at])
+                columns["decoded"] = pa.array([text[a:b] for a, b in zip(at[starts].tolist(), at[ends].tolist())], pa.binary())
+            out.append(pa.table(columns))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) for each row of docs(doc_id, text); ids are little-endian unsigned 32-bit integers.
 
-    Each match of `pattern` is encoded separately, without special tokens: their strings are ordinary text. A null text is empty and has
-    no ids; repeated rows, null doc_ids and texts of any length are rows like others; more columns are ignored; an
-    empty table gives an empty result. The rank file is read on the driver and sent to the executors (as large as the vocabulary).
+    Each match of `pattern` is encoded separately, without special tokens: their strings are ordinary text. With `decoded`, the bytes of
+    the ids by the token-byte table are a further column, as decode() adds it. A null text is empty and has no ids; repeated
+    rows, null doc_ids and texts of any length are rows like others; more columns are ignored; an empty table gives an empty
+    result. The rank file is read on the driver and sent to the executors (as large as the vocabulary).
+
+    What the blocks hold is a table bucketed by block in the shared folder, so the documents' positions aren't shuffled to meet their ids.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
     owners = max(16, -(-docs.count() // DOCS_PER_OWNER))
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    stations = save(text.mapInArrow(_stations(pattern, owners), _STATIONS), "stations")
+    stations = save_bucketed(text.mapInArrow(_stations(pattern, owners), _STATIONS), "stations", "block", max(owners, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     answers = (
         stations.filter("owner is not null")
         .select("block", "owner", "words", "numbers")
@@ -222,11 +247,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         .applyInArrow(_owner(ranks, pattern), "block long, numbers binary, counts binary, flat binary")
     )
     documents = stations.filter("owner is null").select("block", "doc_ids", "sizes", "payload")
-    return (
-        documents.groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
-    )
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
+    table = token_table(spark, ranks_path) if decoded else None
+    return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble(table), schema)
 
 
 def token_table(spark: SparkSession, ranks_path: str) -> Broadcast:
@@ -243,14 +266,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     table = token_table(encoded.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, size = table.value
-        flat = np.frombuffer(joined, np.uint8)
-        begin = np.cumsum(size) - size
         for batch in batches:
-            decoded = []
-            for ids in batch.column(batch.schema.get_field_index("ids")).to_pylist():
-                tokens = np.frombuffer(ids or b"", "<u4").astype(np.int64)
-                decoded.append(gather(flat, begin[tokens], size[tokens]).tobytes())
+            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+            decoded = [_bytes_of(np.frombuffer(i or b"", "<u4").astype(np.int64), table.value)[0] for i in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     fields = [f for f in encoded.schema.fields if f.name != "decoded"]

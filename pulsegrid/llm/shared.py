@@ -49,6 +49,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like save(), bucketed by a key: a later step that needs the key's rows together reads them so, without a shuffle."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    table = f"pulsegrid_{name}_{path.rpartition('/')[2]}"
+    writer = df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{path}/{name}")
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
 #: A key with more than one in so many rows is hot; so there are at most this many hot keys.
 HOT_KEYS = 1000
 
