@@ -11,6 +11,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(_documents(spark, sf_dir))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.pii import find_pii
+
+    out = find_pii(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.quality import quality_rules, train
+
+    docs = _documents(spark, sf_dir)
+    out = quality_rules(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return out.drop("probability")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.near_dedup import near_duplicates
 
@@ -20,16 +41,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from pulsegrid.llm.byte_bpe import decode, encode
+    from pulsegrid.llm.byte_bpe import encode
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = decode(encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    out = encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash_near_dedup": op5_minhash_near_dedup, "op6_byte_bpe": op6_byte_bpe}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pulsegrid.llm import suffix_dedup
+
+    return {"op2_suffix_dedup": suffix_dedup.ORACLE_SQL}

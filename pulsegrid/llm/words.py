@@ -52,14 +52,30 @@ class Slice:
     end: np.ndarray
     word_at: np.ndarray  # number of each text's first word, and the end
     hashes: np.ndarray  # of words
+    sums: np.ndarray  # of bytes, for the hash of any byte range
+    _run_sums: np.ndarray | None = None
 
     @property
     def rows(self) -> int:
         return self.last - self.first
 
+    def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges."""
+        unpower = _power_tables(len(self.sums))[1]
+        size = (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix((self.sums[end] - self.sums[begin]) * unpower[begin] + size)
+
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.word_at))
 
+    def runs(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n words from each position; costs the same for any n. The caller sees to it that they are in one text."""
+        power, unpower = _power_tables(len(self.hashes) + 1)
+        if self._run_sums is None:
+            self._run_sums = np.zeros(len(self.hashes) + 1, np.uint64)
+            np.cumsum(self.hashes * power[: len(self.hashes)], out=self._run_sums[1:])
+        return mix((self._run_sums[at + n] - self._run_sums[at]) * unpower[at] + np.uint64(n))
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word and hash of each run of n words within one text."""
         count = len(self.hashes)
@@ -116,11 +132,12 @@ def _slice(first: int, last: int, data: np.ndarray, text_at: np.ndarray, lower:
     ends = text_at[1:][text_at[1:] > 0] - 1
     closes[ends] = ~blank[:n][ends]
     end = np.flatnonzero(closes) + 1
-    power, unpower = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[begin]) * unpower[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Slice(first, last, data, text_at, begin, end, np.searchsorted(begin, text_at).astype(np.int64), hashes)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_tables(n + 1)[0][:n], out=sums[1:])
+    word_at = np.searchsorted(begin, text_at).astype(np.int64)
+    part = Slice(first, last, data, text_at, begin, end, word_at, np.zeros(0, np.uint64), sums)
+    part.hashes = part.spans(begin, end)
+    return part
 
 
 def shingles(part: Slice, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
