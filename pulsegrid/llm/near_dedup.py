@@ -8,7 +8,7 @@ have signatures at a Hamming distance of k bins at most. By pigeonhole, with K >
 a chunk are candidates, and *every* pair within the signature distance is one: no chance is involved.
 
 Chunks with too few shingles say little (all texts with one licence line would meet there), so they are not looked up; a document
-with more such chunks than the slack K - k - 1 deals its shingles anew under the next seed too, until one seed suits it. Of a linked
+that is left with too few chunks for the guarantee deals its shingles anew under the next seed too, until one seed suits it. Of a linked
 pair either both stop at the same seed or the earlier one meets the other there, so the guarantee holds.
 
 K depends on the size class; a pair spans neighbouring classes at most, so each document is looked up in its own and the next class.
@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulsegrid.llm import words
 from pulsegrid.llm.shared import connected_components, join_unique, save
@@ -36,8 +37,8 @@ from pulsegrid.llm.shared import connected_components, join_unique, save
 BINS = 4
 BITS = 32
 MAX_SEEDS = 32
-TILE_SHINGLES = 300_000
-TILE_DOCS = 2_000
+TILE_SHINGLES = 1_000_000
+TILE_DOCS = 5_000
 DOCS_PER_OWNER = 4_000
 FLUSH_KEYS = 4_000_000
 KEY_BYTES = 5
@@ -46,12 +47,25 @@ _LOOKUPS_SQL = "owner long, nodes binary, counts binary, keys binary"
 
 @lru_cache(maxsize=None)
 def class_plan(size_class: int, percent: int, errors: int) -> tuple[int, int, int]:
-    """(chunks, slack, least shingles of a chunk) for the pairs that meet in a size class."""
+    """(chunks, largest size, least shingles of a chunk) for the pairs that meet in a size class.
+
+    A quarter more chunks than must agree. A chunk is looked up with as many shingles as leave the usual set, between the least and the largest of the
+    two classes that meet here, enough chunks under the first seed.
+    """
     largest = max(1, math.ceil((100 / percent) ** (size_class + 1)) - 1)
-    k = 2 * largest * (100 - percent) // (100 + percent)
-    must = k // (errors + 1) + 1
-    slack = math.ceil(0.25 * must)  # the least sizes of a class have 3.5 shingles a chunk, and then 13 % of chunks have under two
-    return must + slack, slack, 2 if must > 4 else 1
+    must = chunks_needed(largest, largest, percent, errors)
+    chunks = must + math.ceil(0.25 * must)
+    usual = largest * (percent / 100) ** 1.5
+    mean = usual / chunks
+    spare = 1 - chunks_needed(int(usual), largest, percent, errors) / chunks
+    thin = lambda least: sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least))
+    fits = [n for n, size in ((3, 10), (2, 4)) if must > size and thin(n) <= 0.95 * spare]
+    return chunks, largest, max(fits, default=1)
+
+
+def chunks_needed(size, largest, percent: int, errors: int):
+    """How many looked-up chunks suffice for a set of that size against any linked one up to the largest."""
+    return (size + largest) * (100 - percent) // (100 + percent) // (errors + 1) + 1
 
 
 def size_classes(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -89,7 +103,7 @@ def chunk_keys(h: np.ndarray, at: np.ndarray, percent: int, errors: int) -> tupl
 def _deal(h, at, todo, classes, seed, percent, errors, rows, keys, last) -> np.ndarray:
     """One seed for the sets `todo`; adds their keys, returns the sets that need another seed."""
     plans = {c: class_plan(int(c), percent, errors) for c in np.unique(classes[todo])}
-    chunks, slack, least = (np.array([plans[c][i] for c in classes[todo]]) for i in range(3))
+    chunks, largest, least = (np.array([plans[c][i] for c in classes[todo]]) for i in range(3))
     sizes = np.diff(at)[todo]
     which = np.repeat(np.arange(len(todo)), sizes)
     hash_at = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(at[todo], sizes)
@@ -115,7 +129,7 @@ def _deal(h, at, todo, classes, seed, percent, errors, rows, keys, last) -> np.n
         rows.append(todo[row[full]])
         keys.append(words.mix(key[full] ^ tag[full]))
     thin = np.bincount(row[held < least[row]], minlength=len(todo))
-    again = thin > slack
+    again = thin > chunks - chunks_needed(sizes, largest, percent, errors)
     if last and again.any():  # no seed suits it: its thin chunks are looked up too, so that nothing is missed
         also = ~full & again[row]
         for key in picked:
@@ -306,6 +320,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, errors:
     return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"))
 
 
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, without near-duplicates: of each component those with its least doc_id.
+
+    Of rows equal in doc_id and text one stays. Nulls and empty texts as in near_duplicates(); `__uid` must not be a column of docs.
+    """
+    kept = near_duplicates(docs, percent, width).filter("kept").select("doc_id").distinct()
+    kept = kept.select(F.col("doc_id").alias("__kept"))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    again = Window.partitionBy(F.xxhash64("doc_id", "text")).orderBy("doc_id")
+    return rows.withColumn("__uid", F.row_number().over(again)).filter("__uid = 1").drop("__uid")
+
+
 def _confirmed(text: DataFrame, sized: DataFrame, clusters: DataFrame, percent: int, width: int) -> DataFrame:
     """(a, b): links between nodes of the clusters, confirmed on full sets; enough of them to connect all that are linked."""
     one = sized.filter("n_shingles > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.max("n_shingles").alias("n"))
