@@ -111,8 +111,8 @@ def _passages(length: int, owners: int):
                 row = np.searchsorted(part.word_at, starts, "right") - 1
                 marked = np.zeros(len(part.hashes) + 1, bool)
                 for i in range(part.rows):
-                    for blob in matched[part.first + i] or ():
-                        marked[part.word_at[i] + unpack(blob).astype(np.int64)] = True
+                    if matched[part.first + i] is not None:
+                        marked[part.word_at[i] + unpack(matched[part.first + i]).astype(np.int64)] = True
                 take = marked[suffix] | (copies[part.first + row] > 1)
                 starts, row = starts[take], row[take]
                 who = part.first + row
@@ -148,58 +148,81 @@ def _sorted_runs(group: pa.Table):
     return name, first, at, run, lead, several
 
 
-def _by_name(name: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    order = np.argsort(name, kind="stable")
-    cut = np.flatnonzero(np.diff(name[order])) + 1
-    return order, list(zip([0, *cut], [*cut, len(order)])) if len(order) else []
-
-
-def _match_suffixes(group: pa.Table) -> pa.Table:
-    name, _, at, run, _, several = _sorted_runs(group)
-    keep = several[run]
-    name, at = name[keep], at[keep]
-    order, parts = _by_name(name)
+def _to_names(name: np.ndarray, at: np.ndarray, least: np.ndarray, owners: int) -> pa.Table:
+    """Found positions on their way back to the texts: one row for each owner of texts."""
+    dest = (name.view(np.uint64) % np.uint64(owners)).astype(np.int64)
+    order = np.lexsort((at, name, dest))
+    name, at, least, dest = name[order], at[order], least[order], dest[order]
+    cut = np.flatnonzero(np.diff(dest)) + 1
+    rows = [(int(dest[a]), name[a:b], at[a:b], least[a:b]) for a, b in zip([0, *cut], [*cut, len(dest)]) if b > a]
+    squeeze = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
     return pa.table(
         {
-            "name": pa.array([int(name[order[a]]) for a, _ in parts], pa.int64()),
-            "at": pa.array([pack(np.unique(at[order[a:b]])) for a, b in parts], pa.binary()),
+            "dest": pa.array([d for d, *_ in rows], pa.int64()),
+            "names": pa.array([squeeze(n) for _, n, _, _ in rows], pa.binary()),
+            "at": pa.array([pack(p) for _, _, p, _ in rows], pa.binary()),
+            "least": pa.array([squeeze(f) for *_, f in rows], pa.binary()),
         }
     )
 
 
-def _match_passages(group: pa.Table) -> pa.Table:
-    name, first, at, run, lead, several = _sorted_runs(group)
-    repeated = several | (np.bitwise_or.reduceat(at & 1, lead) > 0)
-    least = np.minimum.reduceat(first, lead)
-    keep = repeated[run]
-    name, at, least = name[keep], at[keep] >> 1, least[run][keep]
-    order, parts = _by_name(name)
-    return pa.table(
-        {
-            "name": pa.array([int(name[order[a]]) for a, _ in parts], pa.int64()),
-            "at": pa.array([pack(at[order[a:b]]) for a, b in parts], pa.binary()),
-            "least": pa.array([pa.compress(least[order[a:b]].tobytes(), "zstd", asbytes=True) for a, b in parts], pa.binary()),
-        }
+def _from_owners(group: pa.Table):
+    """name, position, least of an owner of texts, by name and position without repeats, and where each name begins."""
+    at = [unpack(b).astype(np.int64) for b in group.column("at").to_pylist()]
+    names, least = (
+        np.concatenate([np.frombuffer(pa.decompress(b, 8 * len(a), "zstd", asbytes=True), "<i8") for a, b in zip(at, group.column(c).to_pylist())])
+        for c in ("names", "least")
     )
+    at = np.concatenate(at)
+    order = np.lexsort((least, at, names))
+    names, at, least = names[order], at[order], least[order]
+    new = np.concatenate([[True], (names[1:] != names[:-1]) | (at[1:] != at[:-1])])
+    names, at, least = names[new], at[new], least[new]
+    return names, at, least, np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+
+
+_BACK_SQL = "dest long, names binary, at binary, least binary"
+
+
+def _match_suffixes(owners: int):
+    def run(group: pa.Table) -> pa.Table:
+        name, _, at, run_, _, several = _sorted_runs(group)
+        keep = several[run_]
+        return _to_names(name[keep], at[keep], np.zeros(int(keep.sum()), np.int64), owners)
+
+    return run
+
+
+def _matched(group: pa.Table) -> pa.Table:
+    names, at, _, lead = _from_owners(group)
+    ends = np.append(lead[1:], len(names))
+    return pa.table({"name": pa.array(names[lead]), "matched": pa.array([pack(at[a:b]) for a, b in zip(lead, ends)], pa.binary())})
+
+
+def _match_passages(owners: int):
+    def run(group: pa.Table) -> pa.Table:
+        name, first, at, run_, lead, several = _sorted_runs(group)
+        repeated = several | (np.bitwise_or.reduceat(at & 1, lead) > 0)
+        least = np.minimum.reduceat(first, lead)
+        keep = repeated[run_]
+        return _to_names(name[keep], at[keep] >> 1, least[run_][keep], owners)
+
+    return run
 
 
 def _spans(length: int):
+    kind = pa.list_(pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("first_doc_id", pa.int64())]))
+
     def run(group: pa.Table) -> pa.Table:
-        at = [unpack(b).astype(np.int64) for b in group.column("at").to_pylist()]
-        least = [
-            np.frombuffer(pa.decompress(b, 8 * len(a), "zstd", asbytes=True), "<i8") for a, b in zip(at, group.column("least").to_pylist())
-        ]
-        at, least = np.concatenate(at), np.concatenate(least)
-        order = np.argsort(at, kind="stable")
-        at, least = at[order], least[order]
-        lead = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + length]))
-        last = np.append(lead[1:], len(at)) - 1
-        spans = [
-            {"start_word": int(a), "end_word": int(b) + length, "first_doc_id": int(f)}
-            for a, b, f in zip(at[lead], at[last], np.minimum.reduceat(least, lead))
-        ]
-        kind = pa.list_(pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("first_doc_id", pa.int64())]))
-        return pa.table({"name": group.column("name").slice(0, 1).combine_chunks(), "spans": pa.array([spans], kind)})
+        names, at, least, lead = _from_owners(group)
+        opens = np.ones(len(at), bool)
+        opens[1:] = (names[1:] != names[:-1]) | (at[1:] > at[:-1] + length)
+        begin = np.flatnonzero(opens)
+        last = np.append(begin[1:], len(at)) - 1
+        fields = [pa.array(at[begin]), pa.array(at[last] + length), pa.array(np.minimum.reduceat(least, begin))]
+        spans = pa.StructArray.from_arrays(fields, fields=list(kind.value_type))
+        offsets = np.append(np.searchsorted(begin, lead), len(begin)).astype(np.int32)
+        return pa.table({"name": pa.array(names[lead]), "spans": pa.ListArray.from_arrays(pa.array(offsets), spans).cast(kind)})
 
     return run
 
@@ -223,8 +246,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("first"), F.min("uid").alias("uid"), F.count("*").alias("copies")
     )
     suffixes = text.select("name", "text").mapInArrow(_suffixes(length, owners), _DEALT_SQL)
-    matched = suffixes.groupBy("owner").applyInArrow(_match_suffixes, "name long, at binary")
-    matched = matched.groupBy("name").agg(F.collect_list("at").alias("matched"))
+    matched = suffixes.groupBy("owner").applyInArrow(_match_suffixes(owners), _BACK_SQL)
+    matched = matched.groupBy("dest").applyInArrow(_matched, "name long, matched binary")
     wanted = save(groups.join(matched, "name", "left").filter("copies > 1 or matched is not null"), "wanted")
     passages = (
         text.select("uid", "text")
@@ -232,8 +255,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("name", "first", "copies", "matched", "text")
         .mapInArrow(_passages(length, owners), _DEALT_SQL)
     )
-    found = passages.groupBy("owner").applyInArrow(_match_passages, "name long, at binary, least binary")
-    spans = found.groupBy("name").applyInArrow(_spans(length), "name long, spans array<struct<start_word: long, end_word: long, first_doc_id: long>>")
+    found = passages.groupBy("owner").applyInArrow(_match_passages(owners), _BACK_SQL)
+    schema = "name long, spans array<struct<start_word: long, end_word: long, first_doc_id: long>>"
+    spans = found.groupBy("dest").applyInArrow(_spans(length), schema)
     spans = save(spans.join(wanted.select("name", "copies"), "name"), "spans")
     out = join_unique(rows.select("doc_id", "name"), spans, "name", "copies", "inner")
     return out.select("doc_id", F.inline("spans")).select(
