@@ -146,27 +146,26 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _fit(vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 80, rate: float = 1.0, ridge: float = 1e-6):
-    """Weights and bias by AdaGrad on the whole sample; the rarer class weighs as much as the other."""
-    size = np.array([len(s) for s, _ in vectors])
-    slot = np.concatenate([s for s, _ in vectors])
-    value = np.concatenate([v for _, v in vectors]).astype(np.float64)
-    row = np.repeat(np.arange(len(y)), size)
-    used, slot = np.unique(slot, return_inverse=True)
-    scale = 1 / np.sqrt(np.bincount(slot, value**2, len(used)) / len(y) + 1e-9)
-    value = value * scale[slot] / np.sqrt(max(1, size.mean()))
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, bias, sum_w, sum_b = np.zeros(len(used)), 0.0, np.full(len(used), 1e-12), 1e-12
+def _fit(slot: np.ndarray, value: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 80, ridge: float = 1e-6):
+    """Weights and bias by AdaGrad on all rows at once, row weights given; and the scores of the rows.
+
+    The arrays are narrow and used as they came, as they are the driver's largest.
+    """
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)
+    tables = 2 << TABLE_BITS
+    scale = np.zeros(tables)
+    np.add.at(scale, slot, np.square(value))
+    scale = 1 / np.sqrt((scale / len(y) + 1e-9) * max(1.0, size.mean()))
+    value = value * scale.astype(np.float32)[slot]
+    w, bias, sum_w, sum_b = np.zeros(tables, np.float32), 0.0, np.full(tables, 1e-12), 1e-12
     for _ in range(rounds):
         gap = weight * (_sigmoid(np.bincount(row, value * w[slot], len(y)) + bias) - y)
-        g = np.bincount(slot, value * gap[row], len(used)) + ridge * w
+        g = np.bincount(slot, value * gap.astype(np.float32)[row], tables) + ridge * w
         sum_w += g * g
-        w -= 0.1 * rate * g / np.sqrt(sum_w)
+        w -= (0.1 * g / np.sqrt(sum_w)).astype(np.float32)
         sum_b += gap.sum() ** 2
-        bias -= 0.1 * rate * gap.sum() / np.sqrt(sum_b)
-    full = np.zeros(2 << TABLE_BITS)
-    full[used] = w * scale / np.sqrt(max(1, size.mean()))
-    return full, bias
+        bias -= 0.1 * gap.sum() / np.sqrt(sum_b)
+    return w * scale, bias, np.bincount(row, value * w[slot], len(y)) + bias
 
 
 def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -208,17 +207,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         .toArrow()
     )
     y = found.column("label").to_numpy().astype(np.int64)
-    vectors = [
-        (np.frombuffer(s, "<u4").astype(np.int64), np.frombuffer(v, "<f4"))
-        for s, v in zip(found.column("slots").to_pylist(), found.column("values").to_pylist())
-    ]
     if min(y.sum(), len(y) - y.sum()) < 10:
         return None
+    slot, at = words.column_bytes(found.column("slots"))
+    value, _ = words.column_bytes(found.column("values"))
     held = np.arange(len(y)) % 4 == 0
-    pick = lambda m: [v for v, k in zip(vectors, m) if k]
-    w, bias = _fit(pick(~held), y[~held])
-    score = np.array([float(w[s] @ v) for s, v in pick(held)]) + bias
-    a, b = _platt(score, y[held])
+    # the rarer class weighs as much as the other
+    weight = np.where(y == 1, 0.5 / max(1, y[~held].sum()), 0.5 / max(1, (1 - y[~held]).sum())) * ~held
+    w, bias, score = _fit(slot.view("<u4"), value.view("<f4"), np.diff(at) // 4, y, weight)
+    a, b = _platt(score[held], y[held])
     return Model(w[: 1 << TABLE_BITS], w[1 << TABLE_BITS :], bias, a, b)
 
 

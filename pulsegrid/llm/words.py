@@ -90,14 +90,14 @@ class Slice:
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets of a string column; null is empty."""
+    """Bytes and offsets of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     kind = np.int64 if wide else np.int32
     buffers = column.buffers()
     if len(column) == 0:
