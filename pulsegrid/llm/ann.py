@@ -29,7 +29,7 @@ LIST_ROWS = 200
 LIST_SAMPLES = 8
 REPLICAS = 4
 CLOSURE = 1.15
-REACH = 1.6
+REACH = 1.3
 DEGREE = 24
 CHUNK = 4_000
 
