@@ -21,9 +21,12 @@ from pulsegrid.llm import words
 #: log2 of the size of either weight table.
 TABLE_BITS = 17
 #: Bound of the labelled rows that the classifier is fitted to; those with the least hash of doc_id.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 2_000
 #: Documents with a lower calibrated probability of good quality are rejected.
 THRESHOLD = 0.5
+#: A gram must be in so many documents of the sample (or a hundredth of a small sample) to have a weight.
+LEAST_DOCS = 20
+DAMPING = 1e-5
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
@@ -146,17 +149,19 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _fit(slot: np.ndarray, value: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 80, ridge: float = 1e-6):
+def _fit(slot: np.ndarray, value: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, ridge: float = 1e-6):
     """Weights and bias by AdaGrad on all rows at once, row weights given; and the scores of the rows.
 
-    The arrays are narrow and used as they came, as they are the driver's largest.
+    Grams of few documents are left out, as they would be learned by heart, and the damping keeps the rarer ones of the rest small. The
+    arrays are narrow, as they are the driver's largest.
     """
-    row = np.repeat(np.arange(len(y), dtype=np.int32), size)
     tables = 2 << TABLE_BITS
-    scale = np.zeros(tables)
-    np.add.at(scale, slot, np.square(value))
-    scale = 1 / np.sqrt((scale / len(y) + 1e-9) * max(1.0, size.mean()))
-    value = value * scale.astype(np.float32)[slot]
+    common = np.bincount(slot, minlength=tables) >= max(2, min(LEAST_DOCS, len(y) // 100))
+    kept = common[slot]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)[kept]
+    slot, value = slot[kept], value[kept]
+    scale = common / np.sqrt(np.bincount(slot, np.square(value), tables) / len(y) + DAMPING)
+    value *= scale.astype(np.float32)[slot]
     w, bias, sum_w, sum_b = np.zeros(tables, np.float32), 0.0, np.full(tables, 1e-12), 1e-12
     for _ in range(rounds):
         gap = weight * (_sigmoid(np.bincount(row, value * w[slot], len(y)) + bias) - y)
