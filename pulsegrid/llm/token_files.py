@@ -10,7 +10,9 @@ the manifest names those of tasks that ended well, so lost executors and repeate
 from __future__ import annotations
 
 import json
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,24 +24,40 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.shared import save, shared_dir
 
 DOCS_PER_PART = 8_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 READ_TOKENS = 2_000_000
 
 
+_encoders: dict = {}
+
+
 def _encoder(tokenizer_json: str, kind: str):
-    """bytes of a text -> bytes of its ids.
+    """bytes of a text -> bytes of its ids. A worker process keeps its encoder from task to task.
 
-    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its pieces between
-    ASCII white space, and each piece is encoded by the library when it is first met.
+    The tokenizer lower-cases, drops white space and never joins what white space or a full stop or comma parts from letters, so a text's
+    ids are those of its pieces between ASCII white space. Each piece is encoded by the library when it is first met; one of
+    ASCII letters in another case, or with such a mark at its end, is made of pieces already met.
     """
     from tokenizers import Tokenizer
 
+    if (key := (hash(tokenizer_json), kind)) in _encoders:
+        return _encoders[key]
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    code = "H" if kind == "<u2" else "I"
 
     class Pieces(dict):
         def __missing__(self, piece: bytes) -> bytes:
-            self[piece] = ids = np.array(tokenizer.encode(piece.decode(), add_special_tokens=False).ids, kind).tobytes()
+            if piece.isalpha() and not piece.islower():
+                ids = self[piece.lower()]
+            elif piece[-1:] in (b".", b",") and piece[:-1].isalpha():
+                ids = self[piece[:-1]] + self[piece[-1:]]
+            else:
+                ids = array(code, tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                ids = ids.tobytes()
+            self[piece] = ids
             return ids
 
     known = Pieces()
@@ -49,6 +67,8 @@ def _encoder(tokenizer_json: str, kind: str):
             known.clear()
         return b"".join(map(known.__getitem__, text.split()))
 
+    _encoders.clear()
+    _encoders[key] = encode
     return encode
 
 
