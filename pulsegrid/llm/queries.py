@@ -96,6 +96,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from pulsegrid.llm import suffix_dedup
+    from pulsegrid.llm.oracles import ORACLES
 
-    return {"op2_suffix_dedup": suffix_dedup.ORACLE_SQL}
+    return dict(ORACLES)
