@@ -7,9 +7,11 @@ have signatures at a Hamming distance of k bins at most. By pigeonhole, with K >
 ``errors = 1`` half as many chunks do, each chunk then being looked up once with each bin left out. Documents that agree in
 a chunk are candidates, and *every* pair within the signature distance is one: no chance is involved.
 
-Chunks with too few shingles say little (all texts with one licence line would meet there), so they are not looked up; a document
-that is left with too few chunks for the guarantee deals its shingles anew under the next seed too, until one seed suits it. Of a linked
-pair either both stop at the same seed or the earlier one meets the other there, so the guarantee holds.
+Chunks with too few shingles say little, and neither do common shingles (all texts with one licence line would meet there), so chunks with too few
+uncommon shingles are not looked up; a document that is left with too few chunks for the guarantee deals its shingles anew under the next seed too,
+until one seed suits it; under later seeds common shingles count too, and under the last all chunks are looked up. Of a linked pair either both stop at the same seed or the earlier one
+meets the other there, as agreeing chunks hold the same shingles; so the guarantee holds whatever counts as common. That is
+judged by a bounded sample: it saves comparisons, and no result depends on it.
 
 K depends on the size class; a pair spans neighbouring classes at most, so each document is looked up in its own and the next class.
 
@@ -27,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +39,12 @@ from pulsegrid.llm.shared import connected_components, join_unique, save
 
 BINS = 4
 BITS = 32
-MAX_SEEDS = 32
+#: Seeds under which uncommon shingles count, and seeds in all: under those between all shingles count.
+RARE_SEEDS, MAX_SEEDS = 3, 8
+#: Shingles in at least COMMON_DOCS of the SAMPLE_DOCS sampled documents (of SAMPLE_SHINGLES at most) are common.
+SAMPLE_DOCS = 5_000
+SAMPLE_SHINGLES = 2_000
+COMMON_DOCS = 5
 TILE_SHINGLES = 1_000_000
 TILE_DOCS = 5_000
 DOCS_PER_OWNER = 4_000
@@ -86,9 +94,14 @@ def node_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size == 0, np.uint64(0), np.maximum(name, np.uint64(1)))
 
 
-def chunk_keys(h: np.ndarray, at: np.ndarray, percent: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and lookup key of every chunk that is looked up, for sets given as hashes and offsets."""
+def chunk_keys(
+    h: np.ndarray, at: np.ndarray, percent: int, errors: int, common: np.ndarray = np.zeros(0, np.uint64)
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row and lookup key of every chunk that is looked up, for sets given as hashes and offsets; `common` is sorted."""
     sizes = np.diff(at)
+    rare = np.ones(len(h), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
     own = size_classes(sizes, percent)
     rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for up in (0, 1):
@@ -96,11 +109,12 @@ def chunk_keys(h: np.ndarray, at: np.ndarray, percent: int, errors: int) -> tupl
         for seed in range(MAX_SEEDS):
             if not len(todo):
                 break
-            todo = _deal(h, at, todo, own + up, seed, percent, errors, rows, keys, last=seed == MAX_SEEDS - 1)
+            counted = rare if seed < RARE_SEEDS else np.ones(len(h), bool)
+            todo = _deal(h, at, counted, todo, own + up, seed, percent, errors, rows, keys, last=seed == MAX_SEEDS - 1)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _deal(h, at, todo, classes, seed, percent, errors, rows, keys, last) -> np.ndarray:
+def _deal(h, at, counted, todo, classes, seed, percent, errors, rows, keys, last) -> np.ndarray:
     """One seed for the sets `todo`; adds their keys, returns the sets that need another seed."""
     plans = {c: class_plan(int(c), percent, errors) for c in np.unique(classes[todo])}
     chunks, largest, least = (np.array([plans[c][i] for c in classes[todo]]) for i in range(3))
@@ -114,7 +128,7 @@ def _deal(h, at, todo, classes, seed, percent, errors, rows, keys, last) -> np.n
     bins = np.full(base[-1] * BINS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(bins, slot * BINS + (low & np.uint64(BINS - 1)).astype(np.int64), low)
     signature = (bins >> np.uint64(64 - BITS)).reshape(-1, BINS)
-    held = np.bincount(slot, minlength=base[-1])
+    held = np.bincount(slot[counted[hash_at]], minlength=base[-1])
     row = np.repeat(np.arange(len(todo)), chunks)
     full = held >= np.maximum(least[row] - errors, 0)  # a chunk with `errors` fewer shingles may be the partner of a full one
     tag = words.mix(
@@ -130,7 +144,7 @@ def _deal(h, at, todo, classes, seed, percent, errors, rows, keys, last) -> np.n
         keys.append(words.mix(key[full] ^ tag[full]))
     thin = np.bincount(row[held < least[row]], minlength=len(todo))
     again = thin > chunks - chunks_needed(sizes, largest, percent, errors)
-    if last and again.any():  # no seed suits it: its thin chunks are looked up too, so that nothing is missed
+    if last and again.any():  # no seed suits these: their thin chunks are looked up too, so that nothing is missed
         also = ~full & again[row]
         for key in picked:
             rows.append(todo[row[also]])
@@ -198,6 +212,28 @@ def _sizes(width: int):
     return run
 
 
+def _counted(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch.column("text"), lower=True):
+                _, h, at = words.shingles(part, width)
+                _, once = np.unique(node_of(h, at), return_index=True)
+                seen, n = np.unique(np.concatenate([h[at[i] : at[i + 1]] for i in once]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_as_long(seen), pa.array(n)], ["h", "n"])
+
+    return run
+
+
+def _common(text: DataFrame, sized: DataFrame, width: int) -> Broadcast:
+    """The common shingles of the sample, sorted: at most SAMPLE_DOCS * SAMPLE_SHINGLES / COMMON_DOCS of them, copies aside."""
+    sample = sized.filter(F.col("n_shingles").between(1, SAMPLE_SHINGLES)).select("uid").distinct()
+    sample = sample.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE_DOCS)
+    shown = text.join(F.broadcast(sample), "uid").select(F.coalesce("text", F.lit("")).alias("text"))
+    counted = shown.mapInArrow(_counted(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") >= COMMON_DOCS).select("h").toArrow().column("h").to_numpy()
+    return text.sparkSession.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+
+
 _LOOKUPS = pa.schema([("owner", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 
 
@@ -212,7 +248,7 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-def _lookups(width: int, percent: int, errors: int, owners: int):
+def _lookups(width: int, percent: int, errors: int, owners: int, common: Broadcast):
     """For each owner of keys one row a flush: nodes, how many of its keys each has, and the keys."""
 
     def flush(nodes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +274,7 @@ def _lookups(width: int, percent: int, errors: int, owners: int):
                 _, once = np.unique(node, return_index=True)  # copies are looked up once
                 size = np.diff(at)[once]
                 take = np.repeat(at[once] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                row, key = chunk_keys(h[take], np.concatenate([[0], np.cumsum(size)]), percent, errors)
+                row, key = chunk_keys(h[take], np.concatenate([[0], np.cumsum(size)]), percent, errors, common.value)
                 nodes.append(node[once][row])
                 keys.append(key)
                 held += len(key)
@@ -305,7 +341,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, errors:
         "sized",
     )
     owners = max(16, -(-docs.count() // DOCS_PER_OWNER))
-    keys = text.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_lookups(width, percent, errors, owners), _LOOKUPS_SQL)
+    keys = text.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_lookups(width, percent, errors, owners, _common(text, sized, width)), _LOOKUPS_SQL)
     clusters = connected_components(keys.groupBy("owner").applyInArrow(_meet, "a long, b long"))
     links = _confirmed(text, sized, clusters, percent, width)
     roots = connected_components(links)
