@@ -107,7 +107,7 @@ _PART = pa.schema([("part", pa.int64()), ("name", pa.string()), ("docs", pa.int6
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> str:
-    """Writes docs(doc_id, text) in ascending doc_id order (nulls first, equal ids by text); gives the manifest's address.
+    """Writes docs(doc_id, text) in ascending doc_id order (nulls first, equal ids by a hash of the text); gives the manifest's address.
 
     Every whole text is encoded without special tokens and ends with end_id; a null text is empty. Repeated rows are written
     each; more columns are ignored; an empty table gives a manifest without parts. The folder is a new one in the shared folder unless given, and must be
@@ -121,7 +121,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     parts = max(1, -(-docs.count() // DOCS_PER_PART))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    ordered = text.repartitionByRange(parts, F.asc_nulls_first("doc_id"), "text").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = F.asc_nulls_first("doc_id"), F.xxhash64("text")  # the ranges' bounds are sampled, so no text is part of them
+    ordered = text.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     written = save(ordered.mapInArrow(_write(folder, tokenizer_json, end_id, kind), "part long, name string, docs long, ids long, nulls long"), "parts")
     listed, doc_base, id_base = [], 0, 0
     for p in written.orderBy("part").collect():  # a row for each part
