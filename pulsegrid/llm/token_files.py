@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.shared import save, shared_dir
 
 DOCS_PER_PART = 8_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 READ_TOKENS = 2_000_000
 
 
@@ -36,7 +36,7 @@ def _encoder(tokenizer_json: str, kind: str):
 
     The tokenizer lower-cases, drops white space and never joins what white space or a full stop or comma parts from letters, so a text's
     ids are those of its pieces between ASCII white space. Each piece is encoded by the library when it is first met; one of
-    ASCII letters in another case, or with such a mark at its end, is made of pieces already met.
+    Latin-1 letters in another case, or with such a mark at its end, is made of pieces already met.
     """
     from tokenizers import Tokenizer
 
@@ -48,12 +48,15 @@ def _encoder(tokenizer_json: str, kind: str):
 
     class Pieces(dict):
         def __missing__(self, piece: bytes) -> bytes:
-            if piece.isalpha() and not piece.islower():
-                ids = self[piece.lower()]
-            elif piece[-1:] in (b".", b",") and piece[:-1].isalpha():
-                ids = self[piece[:-1]] + self[piece[-1:]]
+            text = piece.decode()
+            bare = text[:-1] if text[-1] in ".," else text
+            plain = bare.isalpha() and max(bare) < "\u0100"  # letters whose lower case is one letter, whatever stands around them
+            if plain and bare != text:
+                ids = self[bare.encode()] + self[text[-1:].encode()]
+            elif plain and (low := text.lower()) != text:
+                ids = self[low.encode()]
             else:
-                ids = array(code, tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
+                ids = array(code, tokenizer.encode(text, add_special_tokens=False).ids)
                 if sys.byteorder == "big":
                     ids.byteswap()
                 ids = ids.tobytes()
