@@ -111,6 +111,20 @@ def infer(df: DataFrame, keys: Cols, order: Cols, features: str, model: Model, k
     return out.drop("__f", "__e", *[f"__k_{c}" for c in model.classes])
 
 
+def features_from_map(values: Column, names: Cols) -> Column:
+    """A feature vector from a map of names; absent ones count as 0."""
+    return F.array(*[F.coalesce(F.try_element_at(values, F.lit(n)), F.lit(0.0)) for n in names])
+
+
+def rescored(rms_table: DataFrame, keys: Cols, t: str, channels: Cols, model: Model) -> DataFrame:
+    """Inference on a stored RMS table, without its raw signal; windows with a missing channel give nulls and stay."""
+    complete = F.col(channels[0]).isNotNull()
+    for c in channels[1:]:
+        complete = complete & F.col(c).isNotNull()
+    df = rms_table.withColumn("features", F.when(complete, feature_vector(channels)))
+    return infer(df, keys, [t], "features", model)
+
+
 def argmax_labels(df: DataFrame, keys: Cols, classes: Cols) -> DataFrame:
     """(keys, emotion, p, active): long form; every class with the row's largest probability is active."""
     top = F.greatest(*classes)

@@ -11,10 +11,6 @@ from pulsegrid.operators.timeseries import Cols, neighbours
 BROADCAST_ROWS = 10_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def interval_last_wins(
     rows: DataFrame, events: DataFrame, keys: Cols, t: str, start: str, end: str, seq: str, tag: str, width: float, excluded: Cols = ()
 ) -> DataFrame:
@@ -23,12 +19,12 @@ def interval_last_wins(
     Events are dealt to buckets of `width`, a long one to all that it touches, so the join is an equi-join.
     """
     spans = events.filter(F.col(start) <= F.col(end))
-    spans = spans.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(seq).alias("__q"), F.col(tag).alias("__tag"))
-    spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / width), F.floor(F.col("__e") / width))))
-    out = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__b", F.floor(F.col(t) / width))
-    hit = out.join(spans, [*keys, "__b"]).filter((F.col(t) >= F.col("__s")) & (F.col(t) <= F.col("__e")))
-    last = hit.groupBy(*keys, "__b", "__id").agg(F.max_by("__tag", "__q").alias(tag))
-    out = out.join(last, [*keys, "__b", "__id"], "left").drop("__b", "__id")
+    spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    span = F.struct(F.col(seq).alias("q"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(tag).alias("tag"))
+    spans = spans.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list(span)).alias("__spans"))
+    out = rows.withColumn("__b", F.floor(F.col(t) / width)).join(spans, [*keys, "__b"], "left")
+    holding = F.filter("__spans", lambda x: (F.col(t) >= x["s"]) & (F.col(t) <= x["e"]))
+    out = out.withColumn(tag, F.try_element_at(holding, F.lit(-1))["tag"]).drop("__b", "__spans")
     return out.filter(F.col(tag).isNotNull() & ~F.col(tag).isin(list(excluded))) if excluded else out
 
 
@@ -37,14 +33,29 @@ def containment_last_wins(points: DataFrame, zones: DataFrame, seq: str, label:
 
     y_only tests the second coordinate alone, as older results were made.
     """
+    if zones.count() > BROADCAST_ROWS:
+        return _contained_by_cells(points, zones, seq, label, y_only)
     z = zones.select(F.struct(seq, F.col("x").alias("zx"), F.col("y").alias("zy"), "w", "h", label).alias("z"))
-    z = broadcast_if_small(z.agg(F.array_sort(F.collect_list("z")).alias("__zones")))
+    z = F.broadcast(z.agg(F.array_sort(F.collect_list("z")).alias("__zones")).withColumn("__one", F.lit(1)))
     inside = lambda r: (F.lit(True) if y_only else F.col("x").between(r["zx"], r["zx"] + r["w"])) & F.col("y").between(r["zy"], r["zy"] + r["h"])
     found = F.filter("__zones", inside)
-    out = points.withColumn("__one", F.lit(1)).join(z.withColumn("__one", F.lit(1)), "__one", "left")
+    out = points.withColumn("__one", F.lit(1)).join(z, "__one", "left")
     return out.withColumn(label, F.try_element_at(found, F.lit(-1))[label]).drop("__zones", "__one")
 
 
+def _contained_by_cells(points: DataFrame, zones: DataFrame, seq: str, label: str, y_only: bool) -> DataFrame:
+    """The same for many zones: they are dealt to the cells of a lattice of their mean size, and points meet those of their cell."""
+    mean = zones.agg(F.avg("w"), F.avg("h")).first()
+    w, h = (m if m and m > 0 else 1.0 for m in mean)
+    cells = lambda a, size, step: F.explode(F.sequence(F.floor(F.col(a) / step), F.floor((F.col(a) + F.col(size)) / step)))
+    z = zones.withColumn("__cx", F.lit(0) if y_only else cells("x", "w", w)).withColumn("__cy", cells("y", "h", h))
+    z = z.groupBy("__cx", "__cy").agg(F.array_sort(F.collect_list(F.struct(seq, "x", "y", "w", "h", label))).alias("__zones"))
+    at = points.withColumn("__cx", F.lit(0) if y_only else F.floor(F.col("x") / w)).withColumn("__cy", F.floor(F.col("y") / h))
+    inside = lambda r: (F.lit(True) if y_only else F.col("x").between(r["x"], r["x"] + r["w"])) & F.col("y").between(r["y"], r["y"] + r["h"])
+    out = at.join(z, ["__cx", "__cy"], "left")
+    return out.withColumn(label, F.try_element_at(F.filter("__zones", inside), F.lit(-1))[label]).drop("__cx", "__cy", "__zones")
+
+
 def as_of(rows: DataFrame, other: DataFrame, keys: Cols, t: str, value: Column, width: float) -> DataFrame:
     """rows with `prev_value`, `next_value` and `nearest_value` of another table by time, by a union and windows instead of a join.
 

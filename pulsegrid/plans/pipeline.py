@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalar
+from pulsegrid.operators import aggregates as agg
 from pulsegrid.operators import eda, eeg, events, heart, position
+from pulsegrid.operators import emotions as emo
 from pulsegrid.operators import timeseries as ts
+from pulsegrid.operators.emotions import Model
 from pulsegrid.sources import sessions as src
 from pulsegrid.sources.sinks import write_metric
 
@@ -73,7 +76,35 @@ def event_outputs(spark: SparkSession, folders: list[str]) -> DataFrame:
     return events.split_events(rows, "name", "value")
 
 
+def emotions(model: Model) -> Callable[[SparkSession, list[str]], DataFrame]:
+    """A step with a model's parameters: filtered windows, inference, and the probabilities on the metric grid."""
+
+    def build(spark: SparkSession, folders: list[str]) -> DataFrame:
+        raw = ts.normalise_time(src.headset(spark, folders), KEYS, "t", "seq")
+        raw = raw.select(*KEYS, "seq", "t", *[scalar.connected(F.col(c)).alias(c) for c in scalar.CHANNELS])
+        windows = emo.window_features(ts.row_index(raw, KEYS, ["seq"]), KEYS, "i", "t", scalar.CHANNELS)
+        found = emo.rescored(windows, KEYS, "t", scalar.CHANNELS, model)
+        out = None
+        for c in (emo.NEUTRAL, *model.classes):
+            one = ts.snap(found, KEYS, "t", c, 0.5, 600.0)
+            out = one if out is None else out.join(one.drop("t"), [*KEYS, "i"])
+        return out
+
+    return build
+
+
+def meta_info(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """Each session's duration, the longest of its signals', and whether any could be read."""
+    parts = [ts.normalise_time(src.two_columns(spark, folders, src.PULSE), KEYS, "t", "seq").select(*KEYS, "seq", "t")]
+    parts.append(ts.normalise_time(src.headset(spark, folders), KEYS, "t", "seq").select(*KEYS, "seq", "t"))
+    spans = [agg.session_duration(p, KEYS, "t", "seq") for p in parts]
+    out = spans[0].unionByName(spans[1]).groupBy(*KEYS).agg(F.max("duration").alias("duration"))
+    every = spark.createDataFrame([(f.rstrip("/").rpartition("/")[2],) for f in folders], "session_id string")
+    return every.join(out, KEYS, "left").withColumn("readable", F.col("duration").isNotNull())
+
+
 DEFAULT = [
+    Step("MetaInfo", meta_info),
     Step("HeartDynamics", heart_dynamics),
     Step("Arousal", arousal),
     Step("Cognition", cognition),

@@ -123,6 +123,26 @@ def cvx_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(spark, sf_dir, "session_id long, i long, tonic double, phasic double", f)
 
 
+def emg_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band powers of windows of a muscle signal."""
+    from pulsegrid.operators import emg
+
+    def f(y: np.ndarray) -> pd.DataFrame:
+        p = emg.band_powers(np.resize(y, max(len(y), emg.WINDOW)))
+        return pd.DataFrame({"k": np.repeat(np.arange(len(p)), p.shape[1]), "band": np.tile(np.arange(p.shape[1]), len(p)), "power": np.round(p.ravel(), 6)})
+
+    return _grouped(spark, sf_dir, "session_id long, k long, band long, power double", f)
+
+
+def emg_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelope of a conditioned muscle signal."""
+    from pulsegrid.operators.emg import envelopes
+    from pulsegrid.operators.timeseries import row_index
+
+    rows = row_index(_signal(spark, sf_dir), ["session_id"], ["ts", "event_id"])
+    return envelopes(rows, ["session_id"], "i", ["y"]).select("session_id", "i", F.round("y", 6).alias("y"))
+
+
 def missing_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beats with missing ones put in; event times in days serve as beats."""
     from pulsegrid.operators.heart import fill_beats
@@ -190,6 +210,6 @@ def emotion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         butter_filtfilt, causal_filter, welch_bands, spectrogram, fft_resample, cubic_upsample, peaks, rolling_mad_long, kernel_smooth,
-        sample_entropy, cvx_decompose, missing_beats, multilaterate, stream_parity, online_calibration, emotion_scores,
+        sample_entropy, emg_bands, emg_envelope, cvx_decompose, missing_beats, multilaterate, stream_parity, online_calibration, emotion_scores,
     ]
     return {f.__name__: f for f in named}

@@ -33,10 +33,11 @@ def sessions(spark: SparkSession, root: str) -> list[str]:
     fs, top = _fs(spark, root)
     found, todo = [], [top]
     while todo:
-        own = [s for s in fs.listStatus(todo_path := todo.pop()) if s.isDirectory()]
+        folder = todo.pop()
+        own = [s for s in fs.listStatus(folder) if s.isDirectory()]
         names = {s.getPath().getName() for s in own}
-        if "rawData" in names or (not names and todo_path.getName() not in STANDARD):
-            found.append(todo_path.toString())
+        if "rawData" in names or (not names and folder.getName() not in STANDARD):
+            found.append(folder.toString())
         todo += [s.getPath() for s in own if s.getPath().getName() not in STANDARD]
     return sorted(found)
 
@@ -146,7 +147,7 @@ def simple_events(lines: DataFrame) -> DataFrame:
 
 def labelled_intervals(df: DataFrame, milliseconds: bool = False) -> DataFrame:
     """EventName, Start, End, Value with times from the OFFSET row's start; brackets stripped, OFFSET and FIN left out."""
-    base = F.coalesce(F.min(F.when(F.col("EventName") == "OFFSET", F.col("Start"))).over(Window.partitionBy(F.lit(0))), F.lit(0.0))
+    base = F.lit(df.filter("EventName = 'OFFSET'").agg(F.min("Start")).first()[0] or 0.0)  # one number
     scale = 1000.0 if milliseconds else 1.0
     out = df.select("EventName", ((F.col("Start") - base) / scale).alias("Start"), ((F.col("End") - base) / scale).alias("End"), F.translate("Value", "[]", "").alias("Value"))
     return out.filter(~F.col("EventName").isin("OFFSET", "FIN"))
@@ -156,8 +157,8 @@ def expression_events(df: DataFrame) -> DataFrame:
     """(t, emotion) of EXPRESSION rows of (timestamp, tag, values), from the first timestamp."""
     from pulsegrid.operators.events import json_field
 
-    start = F.min("timestamp").over(Window.partitionBy(F.lit(0)))
-    return df.withColumn("t", F.col("timestamp") - start).filter("tag = 'EXPRESSION'").select("t", json_field(F.col("values"), "emotion").alias("emotion"))
+    start = df.agg(F.min("timestamp")).first()[0]  # one number
+    return df.withColumn("t", F.col("timestamp") - F.lit(start)).filter("tag = 'EXPRESSION'").select("t", json_field(F.col("values"), "emotion").alias("emotion"))
 
 
 def bracketed_positions(lines: DataFrame) -> DataFrame:

@@ -81,6 +81,21 @@ def batch_windows(rows: DataFrame, channels: list[str], low: float = 15.0, high:
     return rows.select("device_id", "n", *channels).groupBy("device_id").applyInPandas(run, WINDOWS)
 
 
+def live_filter(rows: DataFrame, channels: list[str], low: float = 15.0, high: float = 30.0, fs: float = 250.0, order: int = 2) -> DataFrame:
+    """A stream's rows with causally filtered channels, for display; each device's filter starts at rest."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        b, a = dsp.butter(order, (low, high), fs, "band")
+        pdf = pd.concat(list(batches)).sort_values("n")
+        before = np.array(state.get[0]).reshape(-1, len(channels)) if state.exists else None
+        y, z = dsp.lfilter(b, a, pdf[channels].fillna(0.0).to_numpy(float), before)
+        state.update((z.ravel().tolist(),))
+        yield pdf.assign(**{c: y[:, j] for j, c in enumerate(channels)})
+
+    clean = rows.select("device_id", "n", *channels)
+    return clean.groupBy("device_id").applyInPandasWithState(run, clean.schema, "z array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def recordings(rows: DataFrame, time: str, gap: str = "5 seconds", late: str = "10 seconds") -> DataFrame:
     """Recordings of a stream cut at gaps: (device_id, window, n); rows later than `late` are dropped."""
     return rows.withWatermark(time, late).groupBy("device_id", F.session_window(time, gap)).agg(F.count("*").alias("n"))

@@ -166,3 +166,15 @@ def test_ranging_and_smoothing_and_entropy():
 def test_long_rolling_median_equals_pandas():
     x = pd.Series(np.random.default_rng(4).normal(size=300))
     assert np.allclose(x.rolling(51, center=True, min_periods=1).median().to_numpy(), [np.median(x[max(0, i - 25) : i + 26]) for i in range(300)])
+
+
+def test_muscle_signals():
+    from pulsegrid.operators import emg
+
+    t = np.arange(2500) / emg.RATE
+    x = np.stack([np.sin(2 * np.pi * 30 * t) * (t > 5), np.sin(2 * np.pi * 5 * t)], 1)
+    y = emg.envelope(emg.conditioned(x))
+    assert y[1900:2300, 0].min() > 0.5 and y[500:2000, 1].max() < 0.02
+    p = emg.band_powers(x[:, 0])
+    assert p.shape == ((2500 - 250) // 125 + 1, 5) and p[-1].argmax() == 2
+    assert np.allclose(emg.upsampled(np.array([0.0, 1.0]), 4), [0, 1 / 3, 2 / 3, 1])

@@ -112,3 +112,25 @@ def test_pipeline_runs_skips_and_goes_on_after_a_failure(spark, root, tmp_path_f
 def test_heart_step(spark, root):
     found = pipeline.heart_dynamics(spark, src.sessions(spark, root)).toPandas()
     assert set(found.session_id) <= {"a", "b c"}
+
+
+def test_interval_tables(spark):
+    df = spark.createDataFrame([("OFFSET", 10.0, 11.0, ""), ("a", 12.0, 15.0, "[x]"), ("FIN", 20.0, 21.0, "")], "EventName string, Start double, End double, Value string")
+    assert [tuple(r) for r in src.labelled_intervals(df).collect()] == [("a", 2.0, 5.0, "x")]
+    ev = spark.createDataFrame([(5.0, "X", ""), (7.0, "EXPRESSION", '{"emotion":"Joy"}'), (8.0, "EXPRESSION", '{""emotion"":""Fear""}')], "timestamp double, tag string, values string")
+    assert [tuple(r) for r in src.expression_events(ev).collect()] == [(2.0, "Joy"), (3.0, "Fear")]
+    at = src.bracketed_positions(lines(spark, "[1.5 2 3]", "None", "[4, 5, 6]")).orderBy("seq").collect()
+    assert [(r.x, r.y, r.z) for r in at] == [(1.5, 2.0, 3.0), (4.0, 5.0, 6.0)]
+
+
+def test_many_zones_by_cells_equal_few(spark, monkeypatch):
+    from pulsegrid.operators import joins
+
+    zones = spark.createDataFrame([(i, f"z{i}", float(i % 5), float(i // 5), 1.5, 0.5 + i % 3) for i in range(20)], "seq int, label string, x double, y double, w double, h double")
+    points = spark.createDataFrame([(x / 3, y / 3) for x in range(20) for y in range(20)], "x double, y double")
+    for y_only in (False, True):
+        few = sorted(map(str, joins.containment_last_wins(points, zones, "seq", "label", y_only).collect()))
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+        many = sorted(map(str, joins.containment_last_wins(points, zones, "seq", "label", y_only).collect()))
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", 10_000)
+        assert few == many
