@@ -259,7 +259,7 @@ def pivot_band_indices(spark, sf):
 
 @_query(f""", b AS (SELECT session_id, t, t - lag(t) OVER (PARTITION BY session_id ORDER BY t) AS ibi FROM sig),
  d AS (SELECT *, ibi - lag(ibi) OVER (PARTITION BY session_id ORDER BY t) AS delta FROM b),
- k AS (SELECT session_id, unnest(range(ceil(min(t) / {7 * DAY})::BIGINT, floor(max(t) / {7 * DAY})::BIGINT + 1)) * {7 * DAY} AS tick FROM sig GROUP BY 1)
+ k AS (SELECT session_id, unnest(range(ceil(min(t) / {7 * DAY})::BIGINT, floor(max(t) / {7 * DAY})::BIGINT + 1)) * {7 * DAY}::DOUBLE AS tick FROM sig GROUP BY 1)
  SELECT k.session_id, tick, count(*) AS n_beats, round(avg(ibi), 3) AS mean_nn, round(stddev_samp(ibi), 3) AS sdnn, round(sqrt(avg(delta * delta)), 3) AS rmssd,
   round(60000 / avg(ibi), 6) AS mean_hr, round(100.0::DOUBLE * count(*) FILTER (abs(delta) > 50) / nullif(count(delta), 0), 4) AS pnn50
  FROM k JOIN d ON k.session_id = d.session_id AND d.t <= tick AND d.t >= tick - {10 * DAY} GROUP BY 1, 2""")
@@ -377,7 +377,7 @@ def positional_join(spark, sf):
 
 @_query(f""", a AS (SELECT session_id, rint(t / {DAY})::BIGINT AS k, avg(y) AS y FROM sig WHERE kind = 'view' GROUP BY 1, 2),
  b AS (SELECT session_id, rint(t / {DAY})::BIGINT AS k, max(y) AS z FROM sig WHERE kind = 'click' GROUP BY 1, 2)
- SELECT session_id, k * {DAY} AS t, round(y, 4) AS y, z FROM a FULL JOIN b USING (session_id, k)""".replace("rint", "round_even_"))
+ SELECT session_id, k * {DAY}::DOUBLE AS t, round(y, 4) AS y, z FROM a FULL JOIN b USING (session_id, k)""".replace("rint", "round_even_"))
 def fuse_on_grid(spark, sf):
     """Metric tables fused on their grid."""
     day = (F.rint(F.col("t") / DAY) * DAY).alias("t")
