@@ -1,6 +1,7 @@
 """Each operator against brute force, over nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -339,7 +340,8 @@ def test_nearest(spark):
 def test_nearest_recall_on_the_table(spark):
     from pulsegrid.llm.ann import nearest
 
-    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    largest = next(d for d in ("check_s", "sf0.1") if os.path.exists(f"/root/testdata/{d}/embeddings.parquet"))
+    e = spark.read.parquet(f"/root/testdata/{largest}/embeddings.parquet")
     out = nearest(e, "vec_id % 50 = 0").toPandas()
     e = e.toPandas()
     x = np.stack(e.embedding).astype(float)
