@@ -1,6 +1,7 @@
 """Queries of the signal kernels, which SQL can't express: filters, spectra, decomposition, ranging, live windows.
 
-The value of a user's events in time order is the signal, as if sampled at a constant rate.
+The value of a user's events in time order is the signal, as if sampled at a constant rate. Every session has rows, however short it is, except
+in `peaks`, where a session without a peak has none. Where a kernel needs more samples than there are, its docstring gives the rule.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session_id"), "event_id", "ts", F.col("value").alias("y"))
 
 
-def _grouped(spark: SparkSession, sf_dir: str, schema: str, f: Callable[[np.ndarray], pd.DataFrame], least: int = 32) -> DataFrame:
+def _grouped(spark: SparkSession, sf_dir: str, schema: str, f: Callable[[np.ndarray], pd.DataFrame]) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(["ts", "event_id"]).y.to_numpy(float)
-        out = f(y) if len(y) >= least else f(np.resize(y, least)).iloc[:0]
+        out = f(y)
         out.insert(0, "session_id", pdf.session_id.iloc[0])
         return out
 
@@ -36,8 +37,13 @@ def _series(y: np.ndarray) -> pd.DataFrame:
 
 
 def butter_filtfilt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zero-phase band-pass."""
-    return _grouped(spark, sf_dir, POINTS, lambda y: _series(dsp.filtfilt(*dsp.butter(4, (0.5, 45.0), 250.0, "band"), y)))
+    """Zero-phase band-pass; a session that isn't longer than the extension at its ends (27 samples) stays unfiltered."""
+
+    def f(y: np.ndarray) -> pd.DataFrame:
+        b, a = dsp.butter(4, (0.5, 45.0), 250.0, "band")
+        return _series(dsp.filtfilt(b, a, y) if len(y) > 3 * max(len(a), len(b)) else y)
+
+    return _grouped(spark, sf_dir, POINTS, f)
 
 
 def causal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,20 +57,25 @@ def causal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def welch_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band powers of a power density."""
+    """Band powers of a power density; a session shorter than a segment is one segment, and its bands that hold under two of its frequencies are null."""
     from pulsegrid.functions.scalar import BANDS
 
     def f(y: np.ndarray) -> pd.DataFrame:
+        if len(y) < 2:
+            return pd.DataFrame({"band": list(BANDS), "power": np.nan})
         freqs, p = dsp.welch(y, 250.0, 64)
-        return pd.DataFrame([(b, float(dsp.band_power(freqs, p, *e))) for b, e in BANDS.items()], columns=["band", "power"])
+        seen = {b: len(y) >= 64 or ((freqs >= e[0]) & (freqs <= e[1])).sum() > 1 for b, e in BANDS.items()}
+        return pd.DataFrame([(b, float(dsp.band_power(freqs, p, *e)) if seen[b] else np.nan) for b, e in BANDS.items()], columns=["band", "power"])
 
     return _grouped(spark, sf_dir, "session_id long, band string, power double", f)
 
 
 def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short-time spectrum in decibels."""
+    """Short-time spectrum in decibels; a session shorter than a segment (32 samples) has one row of nulls."""
 
     def f(y: np.ndarray) -> pd.DataFrame:
+        if len(y) < 32:
+            return pd.DataFrame({"t": [np.nan], "f": [np.nan], "db": [np.nan]})
         t, freqs, db = dsp.spectrogram(y, 51.2, 32, 28, 64, 6.0)
         return pd.DataFrame({"t": np.repeat(t, len(freqs)), "f": np.tile(freqs, len(t)), "db": np.round(db.ravel(), 6)})
 
@@ -72,22 +83,22 @@ def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fft_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fourier resampling to a third of the points."""
+    """Fourier resampling to a third of the points, two at least."""
     return _grouped(spark, sf_dir, POINTS, lambda y: _series(dsp.resample_fft(y, max(2, len(y) // 3))))
 
 
 def cubic_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cubic spline to three times the points."""
+    """Cubic spline to three times the points; through under four points the polynomial of the least degree."""
 
     def f(y: np.ndarray) -> pd.DataFrame:
-        x = np.arange(len(y), dtype=float)
-        return _series(dsp.cubic_spline(x, y, np.linspace(0, len(y) - 1, 3 * len(y))))
+        x, at = np.arange(len(y), dtype=float), np.linspace(0, len(y) - 1, 3 * len(y))
+        return _series(dsp.cubic_spline(x, y, at) if len(y) > 3 else np.polyval(np.polyfit(x, y, len(y) - 1), at))
 
     return _grouped(spark, sf_dir, POINTS, f)
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local maxima by height, distance and prominence."""
+    """Local maxima by height, distance and prominence; a session without any has no row."""
 
     def f(y: np.ndarray) -> pd.DataFrame:
         at, rise = dsp.find_peaks(y, height=50, prominence=20, distance=4)
@@ -104,13 +115,15 @@ def rolling_mad_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernel_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smoothing with a Hann window."""
-    return _grouped(spark, sf_dir, POINTS, lambda y: _series(dsp.kernel_smooth(y, 11)))
+    """Smoothing with a Hann window; a session shorter than the window (11 samples) stays as it is."""
+    return _grouped(spark, sf_dir, POINTS, lambda y: _series(dsp.kernel_smooth(y, 11) if len(y) >= 11 else y))
 
 
 def sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Irregularity of a signal."""
-    return _grouped(spark, sf_dir, "session_id long, entropy double", lambda y: pd.DataFrame({"entropy": [round(dsp.sample_entropy(y), 6)]}))
+    """Irregularity of a signal; null under four samples, where there are no two runs to compare."""
+    return _grouped(
+        spark, sf_dir, "session_id long, entropy double", lambda y: pd.DataFrame({"entropy": [round(dsp.sample_entropy(y), 6) if len(y) > 3 else np.nan]})
+    )
 
 
 def cvx_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +137,13 @@ def cvx_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emg_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band powers of windows of a muscle signal."""
+    """Band powers of windows of a muscle signal; a session shorter than a window (250 samples) has one row of nulls."""
     from pulsegrid.operators import emg
 
     def f(y: np.ndarray) -> pd.DataFrame:
-        p = emg.band_powers(np.resize(y, max(len(y), emg.WINDOW)))
+        p = emg.band_powers(y)
+        if not len(p):
+            return pd.DataFrame({"k": [None], "band": [None], "power": [np.nan]})
         return pd.DataFrame({"k": np.repeat(np.arange(len(p)), p.shape[1]), "band": np.tile(np.arange(p.shape[1]), len(p)), "power": np.round(p.ravel(), 6)})
 
     return _grouped(spark, sf_dir, "session_id long, k long, band long, power double", f)
