@@ -1,7 +1,7 @@
 """Personal data in texts: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Base kinds (email, ip, card, phone) are fixed rules: every proposal that passes its check counts, with no retry inside a failed one. The
-method adds kinds that a pattern alone can't decide: iban (mod-97), national (a phone number without a country code), ssn (a
+method adds kinds that a pattern alone can't decide: iban (mod-97; words or numbers in capitals after it aren't part of it), national (a phone number without a country code), ssn (a
 nine-digit number in groups) and birth (a date). Each proposal starts with the score of its pattern; a passed checksum raises it, a failed one ends
 it; a context word within CONTEXT characters before it raises it, and those at THRESHOLD or more are spans. Added spans never
 replace base spans; where one overlaps a base span it is left out, as the base kind has said what it is.
@@ -83,20 +83,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that pass mod-97: of a proposal's ends at group borders the last that does; after a proposal without any, the scan goes on behind its first group."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        begin, end = m.span()
+        while end > begin and not (15 <= len(iban := text[begin:end].replace(" ", "")) <= 34 and mod97(iban)):
+            end = text.rfind(" ", begin, end)
+        if end > begin:
+            yield begin, end
+            at = end
+        else:
+            space = text.find(" ", begin, m.end())
+            at = space if space > 0 else m.end()
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the added kinds that reach THRESHOLD and overlap no base span, by kind, then start."""
     found = []
     taken = sorted((a, b) for _, a, b in base)
     for kind, pattern in (("iban", _IBAN), ("national", _NATIONAL), ("ssn", _SSN), ("birth", _BIRTH)):
         alone, near, checked = _SCORES[kind]
-        for m in pattern.finditer(text):
-            begin, end = m.span()
+        for begin, end in _ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
             score = alone
             if kind == "iban":
-                if not 15 <= len(m.group().replace(" ", "")) <= 34 or not mod97(m.group().replace(" ", "")):
-                    continue
                 score += checked
-            if kind == "ssn" and (m.group()[:3] in ("000", "666") or m.group()[0] == "9" or "-00-" in m.group() or m.group().endswith("0000")):
+            part = text[begin:end]
+            if kind == "ssn" and (part[:3] in ("000", "666") or part[0] == "9" or "-00-" in part or part.endswith("0000")):
                 continue
             if kind != "iban" and _WORDS[kind].search(text, max(0, begin - CONTEXT), begin):
                 score += near

@@ -136,6 +136,24 @@ def test_personal_data_spans():
     ]
 
 
+@pytest.mark.parametrize("after", [" BIC COBADEFFXXX", " EUR 500", " 2024", " I paid", " 12 34", " AB12 CD34", ", EUR", " paid", ""])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("before", ["IBAN ", "", "REF AB12 CDEF ", "AB12 3456 7890 1234 5678 "])
+def test_iban_among_capitals_and_digits(before, iban, after):
+    from pulsegrid.llm.pii import added_spans
+
+    text = before + iban + after
+    assert [(k, text[a:b]) for k, a, b in added_spans(text, [])] == [("iban", iban)]
+
+
+def test_two_ibans_and_none():
+    from pulsegrid.llm.pii import added_spans
+
+    text = "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 EUR"
+    assert [text[a:b] for _, a, b in added_spans(text, [])] == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert added_spans("DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX", []) == [] and added_spans("AB12 " * 20_000, []) == []
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["1", "25", "256", ".", "@", "a", "-", " ", "+", "(", "_", "é", "4111111111111111", "x.y"]), max_size=30))
 def test_base_spans_are_those_of_the_plain_expressions(parts):
