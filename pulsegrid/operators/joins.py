@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from pulsegrid.operators.timeseries import Cols, neighbours
 
 #: Rows up to which a dimension (zones, models) is sent to every task; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 10_000
+#: Vectors of either side in a block of the nearest-neighbour join.
+BLOCK_ROWS = 5_000
 
 
 def interval_last_wins(
@@ -109,11 +115,13 @@ def fuse(tables: list[DataFrame], keys: Cols, t: str, step: float) -> DataFrame:
 def knn_vote(queries: DataFrame, training: DataFrame, query_id: str, vector: str, train_id: str, label: str, k: int, precision: list[list[float]] | None = None) -> DataFrame:
     """(query_id, label, share): the k nearest training vectors' labels; Mahalanobis distance with a precision matrix, else Euclidean.
 
-    The training table must be small: it is gathered in one row, whose size is checked, and each query is compared within its row. Ties go to the smaller id.
+    A small training table is gathered in one row, whose size is checked, and each query is compared within its row; a larger one is compared in
+    blocks, each giving its k best, which are then merged. Ties go to the smaller id. Rows without a vector are left out; a query's id is its own.
     """
+    queries, training = queries.filter(F.col(vector).isNotNull()), training.filter(F.col(vector).isNotNull())
     n = training.count()
     if n > BROADCAST_ROWS:
-        raise ValueError(f"{n} training rows; {BROADCAST_ROWS} at most are sent to every task")
+        return _voted_by_blocks(queries, training, n, query_id, vector, train_id, label, k, precision)
     model = training.agg(F.collect_list(F.struct(F.col(train_id).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))).alias("__m"))
 
     def distance(v: Column) -> Column:
@@ -128,3 +136,38 @@ def knn_vote(queries: DataFrame, training: DataFrame, query_id: str, vector: str
     out = queries.withColumn("__one", F.lit(1)).join(F.broadcast(model.withColumn("__one", F.lit(1))), "__one")
     out = out.select(query_id, F.explode(F.slice(F.array_sort(ranked), 1, k)).alias("n"))
     return out.groupBy(query_id, F.col("n.label").alias(label)).agg((F.count("*") / k).alias("share"))
+
+
+def _voted_by_blocks(
+    queries: DataFrame, training: DataFrame, n: int, query_id: str, vector: str, train_id: str, label: str, k: int, precision: list[list[float]] | None
+) -> DataFrame:
+    """The same for many training vectors: every block of them meets every block of queries."""
+    parts, own = -(-n // BLOCK_ROWS), max(1, -(-queries.count() // BLOCK_ROWS))
+    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    block = lambda name, m: F.pmod(F.xxhash64(name), F.lit(m)).cast("int")
+    v = F.transform(vector, lambda x: x.cast("double")).alias("v")
+    asked = queries.select(F.col(query_id).alias("q"), v, block(query_id, own).alias("a"), numbers(parts).alias("b"))
+    known = training.select(F.col(train_id).alias("id"), F.col(label).alias("label"), v, block(train_id, parts).alias("b"), numbers(own).alias("a"))
+    kind = lambda d, c: f"{c} {d.schema[c].dataType.simpleString()}"
+    best = asked.groupBy("a", "b").cogroup(known.groupBy("a", "b")).applyInPandas(
+        _best_of_block(k, precision), f"{kind(asked, 'q')}, {kind(known, 'id')}, {kind(known, 'label')}, d double"
+    )
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id", "label"))
+    best = best.withColumn("r", rank).filter(F.col("r") <= k)
+    return best.groupBy(F.col("q").alias(query_id), F.col("label").alias(label)).agg((F.count("*") / k).alias("share"))
+
+
+def _best_of_block(k: int, precision: list[list[float]] | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values(["id", "label"], na_position="first")
+        found: list[pd.DataFrame] = []
+        x = np.stack(known.v.to_list()).astype(float) if len(known) else np.zeros((0, 0))
+        for q, v in zip(asked.q, asked.v) if len(known) else ():
+            d = x - np.asarray(v, float)
+            d = ((d @ np.array(precision, float).T if precision is not None else d) * d).sum(1)
+            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+            near = near[np.argsort(d[near], kind="stable")[:k]]
+            found.append(pd.DataFrame({"q": q, "id": known.id.to_numpy()[near], "label": known.label.to_numpy()[near], "d": d[near]}))
+        return pd.concat(found) if found else pd.DataFrame({"q": [], "id": [], "label": [], "d": []})
+
+    return run

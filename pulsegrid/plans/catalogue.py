@@ -413,6 +413,17 @@ def knn_topk(spark, sf):
     return joins.knn_vote(e.drop("label"), means, "vec_id", "embedding", "vec_id", "label", 3)
 
 
+@_query("""--own
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ d AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.v, t.v), lambda p: (p[1] - p[2]) ** 2)), t.vec_id) AS r
+  FROM e q, e t WHERE q.vec_id % 100 = 0)
+ SELECT vec_id, label, count(*) / 3.0::DOUBLE AS share FROM d WHERE r <= 3 GROUP BY 1, 2""")
+def knn_vectors(spark, sf):
+    """Votes of the three nearest of all vectors, for each hundredth vector; a vector is its own nearest."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return joins.knn_vote(e.filter("vec_id % 100 = 0").drop("label"), e, "vec_id", "embedding", "vec_id", "label", 3)
+
+
 @_query("""--own
 WITH s AS (SELECT vec_id, list_sum(list_transform(embedding[1:9], lambda x: x::DOUBLE)) AS a, 2 * embedding[1]::DOUBLE - embedding[2]::DOUBLE AS b FROM embeddings)
  SELECT vec_id, round(exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS p FROM s""")
