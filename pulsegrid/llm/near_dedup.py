@@ -332,6 +332,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, errors:
     counts as larger than any other, so it is the component_id only where a component has no other. Repeated rows are equal sets, hence
     linked, and all rows with the least doc_id are kept. An empty table gives an empty result.
     """
+    return _marked(docs, percent, width, errors).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _marked(docs: DataFrame, percent: int, width: int, errors: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of near_duplicates() with their uid, the hash of doc_id and text, and of their component what `more` names."""
     text = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
     sized = save(
         text.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "uid").mapInArrow(
@@ -349,20 +354,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, errors:
     nodes = nodes.join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
     nodes = save(nodes, "nodes")
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    named = join_unique(nodes, roots, "root", "members", "inner").select("node", "component_id", "copies")
+    named = join_unique(nodes, roots, "root", "members", "inner").select("node", "component_id", "copies", *more)
     out = join_unique(sized, save(named, "named"), "node", "copies")
     least = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"))
+    return out.select("doc_id", "n_shingles", least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"), "uid", *more)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, without near-duplicates: of each component those with its least doc_id.
+    """The rows of docs, with all their columns, without near-duplicates: of each component one with its least doc_id, of several texts
+    with that doc_id, or none in the component with any, the one with the least hash.
 
     Of rows equal in doc_id and text one stays. Nulls and empty texts as in near_duplicates(); `__uid` must not be a column of docs.
     """
-    kept = near_duplicates(docs, percent, width).filter("kept").select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("__kept"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = _marked(docs, percent, width, 0, ("root",)).filter("kept")
+    alone = F.when(F.col("n_shingles") == 0, F.col("uid"))  # linked with nothing
+    kept = kept.groupBy("root", alone.alias("alone")).agg(F.min("uid").alias("__kept")).select("__kept")
+    rows = docs.join(kept, F.xxhash64("doc_id", "text") == F.col("__kept"), "left_semi")
     again = Window.partitionBy(F.xxhash64("doc_id", "text")).orderBy("doc_id")
     return rows.withColumn("__uid", F.row_number().over(again)).filter("__uid = 1").drop("__uid")
 

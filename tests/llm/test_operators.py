@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.llm.cases import documents, empty, rows
+from tests.llm.cases import documents, empty, prose, rows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -294,6 +294,23 @@ def test_keep_one(spark):
     assert kept.count(0) == 1 and not {1, 2, None} & set(kept) and {3, 4, 5, 6, 11, 16} <= set(kept)
 
 
+def test_keep_one_with_null_and_shared_doc_ids(spark):
+    from pulsegrid.llm.near_dedup import keep_one
+
+    text = [prose(40 + i, 200) for i in range(5)]
+    near = [t + " more" for t in text]
+    table = [
+        (1, text[0]), (None, near[0]), (None, text[1]), (None, text[2]), (None, near[2]), (None, near[2]), (4, text[3]), (5, near[3]), (5, text[4]),
+        (7, "same id, other text"), (7, text[4] + " tail"), (None, None), (None, ""), (8, ""), (8, None),
+    ]
+    out = [tuple(r) for r in keep_one(spark.createDataFrame(table, "doc_id long, text string"), 85).collect()]
+    assert len(out) == len(set(out))
+    assert sum(r in out for r in ((None, text[2]), (None, near[2]))) == 1
+    assert set(out) - {(None, text[2]), (None, near[2])} == {
+        (1, text[0]), (None, text[1]), (4, text[3]), (5, text[4]), (7, "same id, other text"), (None, None), (None, ""), (8, ""), (8, None),
+    }
+
+
 def test_connected_components(spark):
     from pulsegrid.llm.shared import connected_components
 
