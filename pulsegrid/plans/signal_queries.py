@@ -127,13 +127,13 @@ def sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cvx_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tonic and phasic parts by convex decomposition."""
+    """Tonic and phasic parts by convex decomposition; `converged` is false where the solver's rounds ended above its tolerance."""
 
     def f(y: np.ndarray) -> pd.DataFrame:
-        d = dsp.decompose_eda((y - y.mean()) / (y.std() + 1e-12), 0.25, rounds=300)
-        return pd.DataFrame({"i": np.arange(len(y)), "tonic": np.round(d["tonic"], 4), "phasic": np.round(d["phasic"], 4)})
+        d = dsp.decompose_eda((y - y.mean()) / (y.std() + 1e-12), 0.25)
+        return pd.DataFrame({"i": np.arange(len(y)), "tonic": np.round(d["tonic"], 4), "phasic": np.round(d["phasic"], 4), "converged": d["converged"]})
 
-    return _grouped(spark, sf_dir, "session_id long, i long, tonic double, phasic double", f)
+    return _grouped(spark, sf_dir, "session_id long, i long, tonic double, phasic double, converged boolean", f)
 
 
 def emg_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

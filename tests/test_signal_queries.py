@@ -56,6 +56,16 @@ def test_every_session_has_rows(spark, sf, name):
             assert len(out[n]) == 1 and set(values[1:]) == {None}, n
 
 
+def test_decomposition_with_the_solvers_rounds_says_whether_it_converged(spark, sf):
+    out = found(spark, sf, "cvx_decompose")
+    for n in (5, 64, 300):
+        y = signal(n)
+        d = dsp.decompose_eda((y - y.mean()) / (y.std() + 1e-12), 0.25)
+        rows = sorted(out[n], key=lambda r: r.i)
+        assert np.allclose([r.tonic for r in rows], d["tonic"], atol=1e-4) and {r.converged for r in rows} == {d["converged"]}
+    assert not dsp.decompose_eda(signal(300), 0.25, rounds=3)["converged"]
+
+
 def test_short_sessions_by_their_rules(spark, sf):
     series = lambda name, n: [r.y for r in sorted(found(spark, sf, name)[n], key=lambda r: r.i)]
     assert np.allclose(series("butter_filtfilt", 27), signal(27)) and not np.allclose(series("butter_filtfilt", 28), signal(28))
