@@ -34,18 +34,23 @@ _encoders: dict = {}
 def _encoder(tokenizer_json: str, kind: str):
     """bytes of a text -> bytes of its ids. A worker process keeps its encoder from task to task.
 
-    The tokenizer lower-cases, drops white space and never joins what white space or a full stop or comma parts from letters, so a text's
-    ids are those of its pieces between ASCII white space. Each piece is encoded by the library when it is first met; one of
-    Latin-1 letters in another case, or with such a mark at its end, is made of pieces already met.
+    A tokenizer of the known steps (see _by_pieces) lower-cases, drops white space and never joins what white space or a full stop or comma parts
+    from letters, so a text's ids are those of its pieces between ASCII white space. Each piece is encoded by the library when it is first met; one of
+    Latin-1 letters in another case, or with such a mark at its end, is made of pieces already met. Any other tokenizer gets whole texts.
     """
     from tokenizers import Tokenizer
 
     if (key := (hash(tokenizer_json), kind)) in _encoders:
         return _encoders[key]
     tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     code = "H" if kind == "<u2" else "I"
 
+    def by_library(text: str) -> bytes:
+        ids = array(code, tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     class Pieces(dict):
         def __missing__(self, piece: bytes) -> bytes:
             text = piece.decode()
@@ -56,10 +61,7 @@ def _encoder(tokenizer_json: str, kind: str):
             elif plain and (low := text.lower()) != text:
                 ids = self[low.encode()]
             else:
-                ids = array(code, tokenizer.encode(text, add_special_tokens=False).ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                ids = ids.tobytes()
+                ids = by_library(text)
             self[piece] = ids
             return ids
 
@@ -71,8 +73,24 @@ def _encoder(tokenizer_json: str, kind: str):
         return b"".join(map(known.__getitem__, text.split()))
 
     _encoders.clear()
-    _encoders[key] = encode
-    return encode
+    _encoders[key] = encode if _by_pieces(json.loads(tokenizer_json)) else lambda text: by_library(text.decode())
+    return _encoders[key]
+
+
+#: The normaliser and pre-tokeniser for which texts may be cut at ASCII white space.
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS_OF = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _by_pieces(described: dict) -> bool:
+    """Whether the tokenizer takes the known steps, and no added token holds white space or takes that beside it."""
+    steps = ((described.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        (described.get("normalizer") or {}).get("normalizers") == _NORMALISER
+        and (steps.get("pattern"), steps.get("behavior"), steps.get("invert")) == ({"Regex": _WORDS_OF}, "Removed", True)
+        and not described["model"].get("dropout")
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in described["added_tokens"])
+    )
 
 
 def _write(folder: str, tokenizer_json: str, end_id: int, kind: str):
@@ -112,7 +130,8 @@ _PART = pa.schema([("part", pa.int64()), ("name", pa.string()), ("docs", pa.int6
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> str:
     """Writes docs(doc_id, text) in ascending doc_id order (nulls first, equal ids by a hash of the text); gives the manifest's address.
 
-    Every whole text is encoded without special tokens and ends with end_id; a null text is empty. Repeated rows are written
+    Every whole text is encoded by the library as loaded, with add_special_tokens=False, and ends with end_id (a special token's string in a text is
+    its id, as the library has it); a null text is empty. Repeated rows are written
     each; more columns are ignored; an empty table gives a manifest without parts. The folder is a new one in the shared folder unless given, and must be
     one that all machines reach by its address. The tokenizer's file is read on the driver and goes with the tasks.
     """
