@@ -175,6 +175,21 @@ def test_base_spans_are_those_of_the_plain_expressions(parts):
     assert base_spans(text) == expected
 
 
+def test_addresses_with_long_parts():
+    from pulsegrid.llm.pii import base_spans
+
+    assert base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and base_spans("0" * 5000 + "256.1.1.1") == []
+    assert base_spans("9" * 9000 + ".1.1.1") == [] and base_spans("1.000." + "0" * 6000 + "255.00") == [("ip", 0, 6012)]
+
+
+def test_added_spans_beside_many_base_spans():
+    from pulsegrid.llm.pii import added_spans, base_spans
+
+    text = "a@b.cd 10.0.0.1 ssn 123-45-6789 " * 3000 + "call +49 30 123 4567"
+    found = added_spans(text, base_spans(text))
+    assert len(found) == 3000 and {k for k, *_ in found} == {"ssn"}
+
+
 def test_personal_data_table(spark):
     from pulsegrid.llm.pii import find_pii
 
@@ -402,7 +417,7 @@ def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "DOCS_PER_PART", 7)
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert 49407 in t.encode(rows()[23][1], add_special_tokens=False).ids
     out = token_files.read_token_files(spark, token_files.write_token_files(documents(spark), path, 2)).collect()
     out.sort(key=lambda r: r.start)
     expected = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -414,6 +429,18 @@ def test_token_files(spark, monkeypatch):
     assert token_files.read_token_files(spark, token_files.write_token_files(empty(spark), path, 2)).count() == 0
 
 
+def test_token_files_of_another_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    from pulsegrid.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    out = {r.doc_id: bytes(r.ids) for r in token_files.read_token_files(spark, token_files.write_token_files(documents(spark), path, 7)).collect()}
+    for doc_id, text, *_ in rows():
+        assert out[doc_id] == np.array([*t.encode(text or "", add_special_tokens=False).ids, 7], "<u4").tobytes()
+
+
 # --- 9 secrets ---
 
 
