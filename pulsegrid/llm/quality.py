@@ -149,28 +149,47 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: Entries of the sample that a step of the fit has in hand at once.
+FIT_ENTRIES = 250_000
+
+
 def _fit(slot: np.ndarray, value: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, ridge: float = 1e-6):
-    """Weights and bias by AdaGrad on all rows at once, row weights given; and the scores of the rows.
+    """Weights and bias by AdaGrad on all rows, row weights given; and the scores of the rows.
 
-    Grams of few documents are left out, as they would be learned by heart, and the damping keeps the rarer ones of the rest small. The
-    arrays are narrow, as they are the driver's largest.
+    Grams of few documents are left out, as they would be learned by heart, and the damping keeps the rarer ones of the rest small. Sums run
+    over some rows at a time, so that beside the sample itself little memory is needed.
     """
     tables = 2 << TABLE_BITS
-    common = np.bincount(slot, minlength=tables) >= max(2, min(LEAST_DOCS, len(y) // 100))
-    kept = common[slot]
-    row = np.repeat(np.arange(len(y), dtype=np.int32), size)[kept]
-    slot, value = slot[kept], value[kept]
-    scale = common / np.sqrt(np.bincount(slot, np.square(value), tables) / len(y) + DAMPING)
-    value *= scale.astype(np.float32)[slot]
+    at = np.concatenate([[0], np.cumsum(size)])
+    cuts = [0]
+    while cuts[-1] < len(y):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + FIT_ENTRIES, "right")) - 1))
+
+    def parts():
+        """Rows a to b - 1: their bounds, the row of each entry, its slot and value."""
+        for a, b in zip(cuts, cuts[1:]):
+            inside = slice(at[a], at[b])
+            yield a, b, np.repeat(np.arange(b - a), size[a:b]), slot[inside].astype(np.int64), value[inside]
+
+    found, squares = np.zeros(tables, np.int64), np.zeros(tables)
+    for _, _, _, s, v in parts():
+        found += np.bincount(s, minlength=tables)
+        squares += np.bincount(s, np.square(v, dtype=np.float64), tables)
+    common = found >= max(2, min(LEAST_DOCS, len(y) // 100))
+    scale = (common / np.sqrt(squares / len(y) + DAMPING)).astype(np.float32)
     w, bias, sum_w, sum_b = np.zeros(tables, np.float32), 0.0, np.full(tables, 1e-12), 1e-12
     for _ in range(rounds):
-        gap = weight * (_sigmoid(np.bincount(row, value * w[slot], len(y)) + bias) - y)
-        g = np.bincount(slot, value * gap.astype(np.float32)[row], tables) + ridge * w
+        g, total, weights = ridge * w.astype(np.float64), 0.0, w * scale
+        for a, b, row, s, v in parts():
+            gap = weight[a:b] * (_sigmoid(np.bincount(row, v * weights[s], b - a) + bias) - y[a:b])
+            g += np.bincount(s, v * scale[s] * gap.astype(np.float32)[row], tables)
+            total += gap.sum()
         sum_w += g * g
         w -= (0.1 * g / np.sqrt(sum_w)).astype(np.float32)
-        sum_b += gap.sum() ** 2
-        bias -= 0.1 * gap.sum() / np.sqrt(sum_b)
-    return w * scale, bias, np.bincount(row, value * w[slot], len(y)) + bias
+        sum_b += total**2
+        bias -= 0.1 * total / np.sqrt(sum_b)
+    weights = w * scale
+    return weights, bias, np.concatenate([np.bincount(row, v * weights[s], b - a) for a, b, row, s, v in parts()]) + bias
 
 
 def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -189,10 +208,33 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+_MODEL_SQL = "word binary, char binary, bias double, a double, b double"
+
+
+def _fit_rows(sample: pa.Table) -> pa.Table:
+    """The sample's rows to one row with the model, or none where either class has under ten rows."""
+    sample = sample.sort_by([("order", "ascending"), ("label", "ascending")])
+    y = sample.column("label").to_numpy().astype(np.int64)
+    slot, at = words.column_bytes(sample.column("slots"))
+    value, _ = words.column_bytes(sample.column("values"))
+    held = np.arange(len(y)) % 4 == 0
+    out = {"word": [], "char": [], "bias": [], "a": [], "b": []}
+    if min(y.sum(), len(y) - y.sum()) >= 10:
+        # the rarer class weighs as much as the other
+        weight = np.where(y == 1, 0.5 / max(1, y[~held].sum()), 0.5 / max(1, (1 - y[~held]).sum())) * ~held
+        w, bias, score = _fit(slot.view("<u4"), value.view("<f4"), np.diff(at) // 4, y, weight)
+        a, b = _platt(score[held], y[held])
+        tables = [w[: 1 << TABLE_BITS].astype("<f4").tobytes(), w[1 << TABLE_BITS :].astype("<f4").tobytes()]
+        out = {name: [v] for name, v in zip(out, [*tables, bias, a, b])}
+    kinds = [pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
+    return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds)})
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model | None:
     """A model of labels(doc_id, `label` 0/1), fitted to at most `rows` labelled documents, the same at every run.
 
-    Rows with a null are left out. None where either class has under ten documents: then there is nothing to learn.
+    Rows with a null are left out. None where either class has under ten documents: then there is nothing to learn. One task holds the sample's
+    vectors, 2 MB a row at most whatever the texts' lengths, and fits them; the driver gets the model alone.
     """
     sample = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -209,19 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         .mapInArrow(_with_order, "label int, order long, slots binary, values binary")
         .orderBy("order", "label")
         .limit(rows)
-        .toArrow()
     )
-    y = found.column("label").to_numpy().astype(np.int64)
-    if min(y.sum(), len(y) - y.sum()) < 10:
+    fitted = found.groupBy().applyInArrow(_fit_rows, _MODEL_SQL).first()
+    if fitted is None:
         return None
-    slot, at = words.column_bytes(found.column("slots"))
-    value, _ = words.column_bytes(found.column("values"))
-    held = np.arange(len(y)) % 4 == 0
-    # the rarer class weighs as much as the other
-    weight = np.where(y == 1, 0.5 / max(1, y[~held].sum()), 0.5 / max(1, (1 - y[~held]).sum())) * ~held
-    w, bias, score = _fit(slot.view("<u4"), value.view("<f4"), np.diff(at) // 4, y, weight)
-    a, b = _platt(score[held], y[held])
-    return Model(w[: 1 << TABLE_BITS], w[1 << TABLE_BITS :], bias, a, b)
+    return Model(np.frombuffer(fitted.word, "<f4"), np.frombuffer(fitted.char, "<f4"), fitted.bias, fitted.a, fitted.b)
 
 
 def _with_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
