@@ -123,11 +123,11 @@ def first_seen(df: DataFrame, what: Cols, seq: str) -> DataFrame:
     return df.groupBy(*what).agg(F.min(seq).alias("first_seq"))
 
 
-def table_summary(df: DataFrame, t: str, values: Cols) -> DataFrame:
-    """One row for a metric table: first and last time, median step, and the range of finite values widened by 8 %."""
-    w = Window.partitionBy("session_id").orderBy(t) if "session_id" in df.columns else Window.orderBy(t)
-    steps = df.withColumn("__step", F.col(t) - F.lag(t).over(w))
-    finite = [F.when(~F.isnan(v) & (F.abs(v) < float("inf")), F.col(v)) for v in values]
-    low, high = F.min(F.least(*finite) if len(finite) > 1 else finite[0]), F.max(F.greatest(*finite) if len(finite) > 1 else finite[0])
-    out = steps.agg(F.min(t).alias("t_min"), F.max(t).alias("t_max"), F.percentile("__step", 0.5).alias("step"), low.alias("low"), high.alias("high"))
-    return out.select("t_min", "t_max", "step", (F.col("low") - 0.08 * (F.col("high") - F.col("low"))).alias("y_min"), (F.col("high") + 0.08 * (F.col("high") - F.col("low"))).alias("y_max"))
+def table_summary(df: DataFrame, t: str, values: Cols, keys: Cols = ["session_id"]) -> DataFrame:
+    """(keys, t_min, t_max, step, y_min, y_max) of each session's metric table: times, median step, and the range of finite values widened by 8 %."""
+    steps = df.withColumn("__step", F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t)))
+    finite = F.array(*[F.when(~F.isnan(v) & (F.abs(v) < float("inf")), F.col(v)) for v in values])
+    out = steps.withColumn("__low", F.array_min(finite)).withColumn("__high", F.array_max(finite)).groupBy(*keys)
+    out = out.agg(F.min(t).alias("t_min"), F.max(t).alias("t_max"), F.percentile("__step", 0.5).alias("step"), F.min("__low").alias("low"), F.max("__high").alias("high"))
+    margin = 0.08 * (F.col("high") - F.col("low"))
+    return out.select(*keys, "t_min", "t_max", "step", (F.col("low") - margin).alias("y_min"), (F.col("high") + margin).alias("y_max"))

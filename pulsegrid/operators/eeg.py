@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,11 +15,20 @@ from pulsegrid.operators import timeseries as ts
 from pulsegrid.operators.timeseries import Cols
 
 RATE, WINDOW, STEP, SEGMENT, EPOCH = 250.0, 500, 125, 256, 250
-MAX_NULL, PEAK, PTP, EMG_RATIO = 0.20, 75.0, 60.0, 0.30
 WINDOW_MAX_NULL = 0.25
 JUDGED = ["T9", "T10"]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What an epoch may have at most: share of invalid samples, amplitude, peak-to-peak (microvolts), share of 30 to 45 Hz in the power of 1 to 45 Hz."""
+
+    null: float = 0.20
+    peak: float = 75.0
+    ptp: float = 60.0
+    muscle: float = 0.30
+
+
 def hardware_invalid(df: DataFrame, keys: Cols, t: str, channels: Cols, gap: float = 5.0):
     """Whether any channel is missing, or the sample is the first after a gap."""
     after_gap = F.coalesce(F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t)) >= gap, F.lit(False))
@@ -47,34 +58,55 @@ def filtered(df: DataFrame, keys: Cols, i: str, channels: Cols) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
-def epoch_artefacts(df: DataFrame, keys: Cols, i: str, raw: dict[str, str], clean: dict[str, str]) -> DataFrame:
-    """(keys, epoch, n, cause): of each second the first cause in T9, then T10: missing, peak, peak-to-peak, muscle share."""
-    epochs = df.withColumn("epoch", F.floor(F.col(i) / EPOCH)).groupBy(*keys, "epoch")
-    columns = [F.count("*").alias("n")]
-    for c in raw:
-        columns += [
-            agg.null_fraction(raw[c]).alias(f"{c}_null"), F.max(F.abs(clean[c])).alias(f"{c}_peak"),
-            (F.max(clean[c]) - F.min(clean[c])).alias(f"{c}_ptp"), F.array_sort(F.collect_list(F.struct(i, clean[c]))).alias(f"{c}_x"),
-        ]
-    found = epochs.agg(*columns)
+def preprocessed(df: DataFrame, keys: Cols, i: str, channels: Cols, limit: float = 3.0) -> DataFrame:
+    """The channels of each session, filtered, without the rows in which any is an outlier; other columns go with their rows."""
+    return ts.zscore_rows(filtered(df, keys, i, channels), keys, channels, limit)
+
+
+def _spectra(x: pd.Series, rate: float, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which signals there are, and the power densities of all of them at once; signals have equal lengths."""
+    given = x.notna().to_numpy()
+    if not given.any():
+        return given, np.zeros(0), np.zeros((0, 0))
+    return given, *dsp.welch(np.stack([np.asarray(v, float) for v in x[given]]), rate, segment)
+
+
+def epoch_artefacts(
+    df: DataFrame, keys: Cols, i: str, invalid: str, channels: Cols = JUDGED, limits: Limits = Limits(), size: int = EPOCH, rate: float = RATE
+) -> DataFrame:
+    """(keys, epoch, n, cause): of each epoch of `size` samples the first cause that rejects it: for each channel nan, peak_amp, ptp, emg_ratio.
+
+    df holds the filtered channels and whether a sample was invalid before. An incomplete epoch at a session's end is never rejected.
+    """
+    columns = [F.count("*").alias("n"), F.avg(F.col(invalid).cast("int")).alias("__null")]
+    for c in channels:
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(i).alias("i"), F.col(c).cast("double").alias("x"))))
+        columns += [F.max(F.abs(c)).alias(f"__peak_{c}"), (F.max(c) - F.min(c)).alias(f"__ptp_{c}"), F.transform(ordered, lambda s: s["x"]).alias(f"__x_{c}")]
+    found = df.withColumn("epoch", F.floor(F.col(i) / size)).groupBy(*keys, "epoch").agg(*columns)
 
     @F.pandas_udf("double")
     def muscle(x: pd.Series) -> pd.Series:
-        def share(rows) -> float:
-            v = np.array([list(r.values())[1] if isinstance(r, dict) else r[1] for r in rows], float)
-            f, p = dsp.welch(v, RATE, EPOCH)
-            return float(dsp.band_power(f, p, 30, 45) / (dsp.band_power(f, p, 1, 45) + 1e-12))
-
-        return x.map(share)
-
-    cause = F.when(F.col("n") < EPOCH, None)
-    for c in raw:
-        cause = cause.when(F.col(f"{c}_null") > MAX_NULL, "nan").when(F.col(f"{c}_peak") > PEAK, "peak_amp").when(F.col(f"{c}_ptp") > PTP, "ptp")
-        found = found.withColumn(f"{c}_muscle", muscle(f"{c}_x"))
-        cause = cause.when(F.col(f"{c}_muscle") > EMG_RATIO, "emg_ratio")
+        given, f, p = _spectra(x, rate, size)
+        out = np.full(len(x), np.nan)
+        if given.any():
+            out[given] = dsp.band_power(f, p, 30, 45) / (dsp.band_power(f, p, 1, 45) + 1e-12)
+        return pd.Series(out)
+
+    cause = F.when(F.col("n") < size, F.lit(None).cast("string"))
+    for c in channels:
+        found = found.withColumn(f"__muscle_{c}", muscle(F.when(F.col("n") == size, F.col(f"__x_{c}"))))
+        cause = cause.when(F.col("__null") > limits.null, "nan").when(F.col(f"__peak_{c}") > limits.peak, "peak_amp")
+        cause = cause.when(F.col(f"__ptp_{c}") > limits.ptp, "ptp").when(F.col(f"__muscle_{c}") > limits.muscle, "emg_ratio")
     return found.select(*keys, "epoch", "n", cause.alias("cause"))
 
 
+def with_rejected(df: DataFrame, keys: Cols, i: str, invalid: str, epochs: DataFrame, size: int = EPOCH) -> DataFrame:
+    """df with the samples of rejected epochs marked as invalid too."""
+    bad = epochs.select(*keys, "epoch", F.col("cause").isNotNull().alias("__bad"))
+    out = df.withColumn("epoch", F.floor(F.col(i) / size)).join(bad, [*keys, "epoch"], "left")
+    return out.withColumn(invalid, F.col(invalid) | F.coalesce("__bad", F.lit(False))).drop("epoch", "__bad")
+
+
 def band_powers(df: DataFrame, keys: Cols, i: str, t: str, channels: Cols, invalid: str) -> DataFrame:
     """(keys, k, t, channel, band, power) of windows of 2 s, every half second; null powers with over a quarter of samples invalid.
 
@@ -87,10 +119,11 @@ def band_powers(df: DataFrame, keys: Cols, i: str, t: str, channels: Cols, inval
 
     @F.pandas_udf("array<double>")
     def powers(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        f, p = dsp.welch(np.stack([np.asarray(v, float) for v in x]), RATE, SEGMENT)
-        return pd.Series(np.stack([dsp.band_power(f, p, *scalar.BANDS[b]) for b in names], 1).tolist())
+        given, f, p = _spectra(x, RATE, SEGMENT)
+        out = pd.Series([None] * len(x), dtype=object)
+        if given.any():
+            out[given] = np.stack([dsp.band_power(f, p, *scalar.BANDS[b]) for b in names], 1).tolist()
+        return out
 
     parts = []
     for c in channels:
@@ -114,7 +147,8 @@ def cognition(powers: DataFrame, keys: Cols, t: str) -> DataFrame:
         *[mean(b, *JUDGED).alias(b) for b in scalar.BANDS],
         *[mean(b, c).alias(f"{c}_{b}") for c in ("AF7", "AF8", "LeftHemi", "RightHemi") for b in ("alpha", "beta", "theta")],
     )
-    frontal = sum(F.col(f"{c}_beta") / (F.col(f"{c}_alpha") + F.col(f"{c}_theta") + agg.EPS) for c in ("AF7", "AF8")) / 2
+    engaged = {c: F.col(f"{c}_beta") / (F.col(f"{c}_alpha") + F.col(f"{c}_theta") + agg.EPS) for c in ("AF7", "AF8", "LeftHemi", "RightHemi")}
     found = agg.cognition(F.col("beta"), F.col("alpha"), F.col("theta"))
-    found |= {"frontal": frontal, "lateralization": agg.lateralization(F.col("LeftHemi_alpha"), F.col("RightHemi_alpha"))} | agg.relative(list(scalar.BANDS))
+    found |= {"frontal": (engaged["AF7"] + engaged["AF8"]) / 2, "lateralization": agg.lateralization(engaged["LeftHemi"], engaged["RightHemi"])}
+    found |= agg.relative(list(scalar.BANDS))
     return wide.select(*keys, "k", t, *scalar.BANDS, *[c.alias(n) for n, c in found.items()])

@@ -30,12 +30,12 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return dsp.filtfilt(b, a, dsp.filtfilt(b, a, np.abs(x)))
 
 
-def band_powers(x: np.ndarray) -> np.ndarray:
-    """Powers of the five bands of each window of a second, every half second: windows by bands."""
-    if len(x) < WINDOW:
+def band_powers(x: np.ndarray, window: int = WINDOW, step: int = STEP) -> np.ndarray:
+    """Powers of the five bands of each window (a second, every half second): windows by bands."""
+    if len(x) < window:
         return np.zeros((0, len(BAND_EDGES) - 1))
-    parts = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STEP]
-    f, p = dsp.welch(parts, RATE, WINDOW)
+    parts = np.lib.stride_tricks.sliding_window_view(x, window)[::step]
+    f, p = dsp.welch(parts, RATE, window)
     return np.stack([dsp.band_power(f, p, a, b) for a, b in zip(BAND_EDGES, BAND_EDGES[1:])], 1)
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left, insort
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import dsp, scalar
+from pulsegrid.operators import joins
 from pulsegrid.operators import timeseries as ts
 from pulsegrid.operators.aggregates import EPS, rms
 from pulsegrid.operators.timeseries import Cols
@@ -18,13 +22,18 @@ NEUTRAL = "Neutral"
 #: Classes in output order, the gates of the packaged model versions, and the weights of the ensemble.
 EMOTIONS = ["Happiness", "Anger", "Surprise", "Contempt", "Disgust", "Fear", "Sadness"]
 GATES = {"v11": 14.689611, "v12": 14.678857}
+FEATURES = ["HEAD_R_RMS", "HEAD_L_RMS", "CHEEK_R_RMS", "CHEEK_L_RMS", "EAR_R_RMS", "FOREHEAD_L_RMS", "BROW_RMS", "NOSE_RMS", "AVG_RMS"]
 LDA_SHARE, KNN_SHARE, NEIGHBOURS = 0.6, 0.4, 7
 RATE, WINDOW_ROWS, STEP_ROWS, BAND = 250.0, 250, 125, (15.0, 45.0)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Stage 1: a linear score of activity; stage 2: linear scores of the classes and nearest neighbours."""
+    """Stage 1: a linear score of activity; stage 2: linear scores of the classes and nearest neighbours.
+
+    precision: the inverse covariance of the neighbours' Mahalanobis distance; None is Euclidean. gate: largest mean RMS of a window that isn't an
+    artefact, None for no gate; cooldown: windows gated after one.
+    """
 
     active_coef: list[float]
     active_intercept: float
@@ -34,6 +43,76 @@ class Model:
     gate: float | None = GATES["v12"]
     cooldown: int = 0
     precision: list[list[float]] | None = None
+    features: list[str] = field(default_factory=lambda: list(FEATURES))
+    lda_share: float = LDA_SHARE
+    knn_share: float = KNN_SHARE
+    neighbours: int = NEIGHBOURS
+    threshold: float = 0.5
+
+    @property
+    def all_classes(self) -> list[str]:
+        """Neutral, then the classes."""
+        return [NEUTRAL, *self.classes]
+
+    @property
+    def gated(self) -> bool:
+        """Whether windows are gated at all."""
+        return self.gate is not None
+
+
+@dataclass(frozen=True)
+class TrainingConfig:
+    """How a model's training data are cut: trials, and windows side by side within them; and the labels recorded."""
+
+    trial_seconds: float = 6.0
+    window_seconds: float = 1.5
+    unit_vectors: bool = True
+    #: The labels as recorded.
+    labels: tuple[str, ...] = (
+        "NEUTRAL", "HAPPY", "ANGER", "SURPRISE", "CONTEMPT-L", "CONTEMPT-R", "DISGUST", "FEAR", "SADNESS", "BLINKS", "JAW_CLENCH", "HEAD_UP", "HEAD_DOWN",
+    )
+
+    @property
+    def windows(self) -> int:
+        """Windows of a trial."""
+        return int(self.trial_seconds / self.window_seconds)
+
+
+#: Files of a model's folder. parameters.json holds the linear scores and the precision matrix, neighbours.parquet the training
+#: vectors (id, vector, label); the gate's file is optional, and without it nothing is gated.
+MODEL_FILES = ("parameters.json", "feature_columns.json", "config.json")
+GATE_FILE, NEIGHBOUR_TABLE = "artefact_config.json", "neighbours.parquet"
+
+
+def _json_file(spark: SparkSession, path: str) -> dict | list | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def load_model(spark: SparkSession, folder: str, cooldown: int = 0, gate: float | None = None) -> tuple[Model, DataFrame | None]:
+    """The model in a folder and its training vectors; a given `gate` replaces that of the folder where there is one. FileNotFoundError names a missing file.
+
+    All are parameters as data; serialised objects of other libraries, which would run code as they are read, aren't.
+    """
+    found = {name: _json_file(spark, f"{folder}/{name}") for name in (*MODEL_FILES, GATE_FILE)}
+    for name in MODEL_FILES:
+        if found[name] is None:
+            raise FileNotFoundError(f"{folder}/{name}")
+    own, config, art = found["parameters.json"], found["config.json"], found[GATE_FILE]
+    if art is None:
+        limit = None
+    else:
+        limit = float(gate) if gate is not None else float(art["threshold"])
+    model = Model(
+        own["active_coef"], own["active_intercept"], own["class_coef"], own["class_intercept"], own.get("classes") or config["stage2_classes"], limit,
+        max(0, int(cooldown)), own.get("precision"), found["feature_columns.json"], config.get("lda_ensemble_weight", LDA_SHARE),
+        config.get("knn_ensemble_weight", KNN_SHARE), config.get("knn_k", NEIGHBOURS), config.get("theta", 0.5),
+    )
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{NEIGHBOUR_TABLE}")
+    there = table.getFileSystem(spark._jsc.hadoopConfiguration()).exists(table)
+    return model, spark.read.parquet(f"{folder}/{NEIGHBOUR_TABLE}") if there else None
 
 
 def cooldown(keys: Cols, order: Cols, artefact: str, windows: int) -> Column:
@@ -74,32 +153,35 @@ def feature_vector(channels: Cols) -> Column:
     return scalar.l2_with_mean(F.array(*channels))
 
 
-def infer(df: DataFrame, keys: Cols, order: Cols, features: str, model: Model, knn: DataFrame | None = None, row_id: str = "k") -> DataFrame:
+def infer(df: DataFrame, keys: Cols, order: Cols, features: str, model: Model, knn: DataFrame | None = None, row_id: str | Cols = "k") -> DataFrame:
     """Adds gated, p_active, a probability for Neutral and each class, label and confidence. Null features give nulls.
 
     A gated window is Neutral for certain. Otherwise p_active comes from stage 1, and the classes' probabilities from the ensemble, times p_active;
-    below one half the label is Neutral with the rest as confidence, else the likeliest class with the ensemble's own probability.
+    below the model's threshold the label is Neutral with the rest as confidence, else the likeliest class with the ensemble's own probability.
     knn: votes (row_id, label, share) of the nearest neighbours, as knn_vote() gives; absent classes count 0.
     """
-    size = len(model.active_coef)
-    f = F.col(features)
-    if model.gate is None:
-        df = df.withColumn("__art", F.lit(False))
-    else:
-        df = df.withColumn("__art", F.coalesce(F.element_at(f, -1) > model.gate, F.lit(False)))
+    artefact = F.coalesce(F.element_at(features, -1) > model.gate, F.lit(False)) if model.gated else F.lit(False)
+    df = df.withColumn("__art", artefact)
     df = df.withColumn("gated", cooldown(keys, order, "__art", model.cooldown)).drop("__art")
+    return scored(df, features, model, knn, row_id)
+
+
+def scored(df: DataFrame, features: str, model: Model, knn: DataFrame | None = None, row_id: str | Cols = "k") -> DataFrame:
+    """infer() for rows that have `gated` already: expressions on single rows, so they run on streams too."""
+    size, f = len(model.active_coef), F.col(features)
     checked = F.when(f.isNull() | (F.size(f) == size), f).otherwise(F.raise_error(F.lit(f"a feature vector needs {size} values")))
     df = df.withColumn("__f", checked)
     active = 1 / (1 + F.exp(-(scalar.dot(F.col("__f"), model.active_coef) + model.active_intercept)))
     lda = scalar.softmax([scalar.dot(F.col("__f"), c) + b for c, b in zip(model.class_coef, model.class_intercept)])
     if knn is not None:
-        votes = knn.groupBy(row_id).pivot("label", model.classes).agg(F.first("share"))
-        df = df.join(votes.select(row_id, *[F.col(c).alias(f"__k_{c}") for c in model.classes]), row_id, "left")
-        ens = [LDA_SHARE * p + KNN_SHARE * F.coalesce(f"__k_{c}", F.lit(0.0)) for p, c in zip(lda, model.classes)]
+        on = [row_id] if isinstance(row_id, str) else list(row_id)
+        votes = knn.groupBy(*on).pivot("label", model.classes).agg(F.first("share"))
+        df = df.join(votes.select(*on, *[F.col(f"`{c}`").alias(f"__k_{c}") for c in model.classes]), on, "left")
+        ens = [model.lda_share * p + model.knn_share * F.coalesce(f"__k_{c}", F.lit(0.0)) for p, c in zip(lda, model.classes)]
     else:
         ens = lda
     df = df.withColumn("p_active", F.when(F.col("__f").isNull(), None).when(F.col("gated"), 0.0).otherwise(active)).withColumn("__e", F.array(*ens))
-    quiet = F.col("gated") | (F.col("p_active") < 0.5)
+    quiet = F.col("gated") | (F.col("p_active") < model.threshold)
     best = F.array_max("__e")
     names = F.array(*[F.lit(c) for c in model.classes])
     out = df.withColumn(NEUTRAL, 1 - F.col("p_active"))
@@ -111,18 +193,26 @@ def infer(df: DataFrame, keys: Cols, order: Cols, features: str, model: Model, k
     return out.drop("__f", "__e", *[f"__k_{c}" for c in model.classes])
 
 
+def ensemble(df: DataFrame, keys: Cols, order: Cols, features: str, model: Model, training: DataFrame) -> DataFrame:
+    """infer() with the votes of the nearest training vectors (id, vector, label), looked up here."""
+    asked = df.select(F.struct(*keys, *order).alias("__q"), F.col(features).alias("vector")).filter("vector is not null")
+    votes = joins.knn_vote(asked, training, "__q", "vector", "id", "label", model.neighbours, model.precision)
+    votes = votes.select("__q.*", "label", "share")
+    return infer(df, keys, order, features, model, votes, [*keys, *order])
+
+
 def features_from_map(values: Column, names: Cols) -> Column:
     """A feature vector from a map of names; absent ones count as 0."""
     return F.array(*[F.coalesce(F.try_element_at(values, F.lit(n)), F.lit(0.0)) for n in names])
 
 
-def rescored(rms_table: DataFrame, keys: Cols, t: str, channels: Cols, model: Model) -> DataFrame:
+def rescored(rms_table: DataFrame, keys: Cols, t: str, channels: Cols, model: Model, training: DataFrame | None = None) -> DataFrame:
     """Inference on a stored RMS table, without its raw signal; windows with a missing channel give nulls and stay."""
     complete = F.col(channels[0]).isNotNull()
     for c in channels[1:]:
         complete = complete & F.col(c).isNotNull()
     df = rms_table.withColumn("features", F.when(complete, feature_vector(channels)))
-    return infer(df, keys, [t], "features", model)
+    return infer(df, keys, [t], "features", model) if training is None else ensemble(df, keys, [t], "features", model, training)
 
 
 def argmax_labels(df: DataFrame, keys: Cols, classes: Cols) -> DataFrame:
@@ -155,7 +245,8 @@ class OnlineCalibrator:
     def __init__(self, channels: int, rate_mean: float = 0.001, rate_var: float = 0.003, gate: float = 3.5, memory: int = 600, least: int = 30):
         self.mean, self.var = None, np.ones(channels)
         self.rates, self.gate, self.memory, self.least = (rate_mean, rate_var), gate, memory, least
-        self.energies: list[float] = []
+        self.recent: deque[float] = deque()
+        self.ranked: list[float] = []
 
     def push(self, values: np.ndarray) -> tuple[np.ndarray, float]:
         logs = np.log(values + EPS)
@@ -166,14 +257,20 @@ class OnlineCalibrator:
         self.mean = np.where(ok, self.mean + self.rates[0] * gap, self.mean)
         self.var = np.where(ok, (1 - self.rates[1]) * self.var + self.rates[1] * gap * gap, self.var)
         energy = float(np.sqrt((values**2).sum()))
-        self.energies = [*self.energies, energy][-self.memory :]
-        if len(self.energies) < self.least:
+        self.recent.append(energy)
+        insort(self.ranked, energy)
+        if len(self.recent) > self.memory:
+            del self.ranked[bisect_left(self.ranked, self.recent.popleft())]
+        n = len(self.ranked)
+        if n < self.least:
             return z / (np.linalg.norm(z) + EPS), 0.5
-        ranked = np.sort(self.energies)
-        n = len(ranked)
-        low, high = (np.median(ranked[int(n * a) : max(int(n * a) + 1, int(n * b))]) for a, b in ((0.02, 0.3), (0.3, 0.6)))
+        low, high = (self._median(int(n * a), max(int(n * a) + 1, int(n * b))) for a, b in ((0.02, 0.3), (0.3, 0.6)))
         return z / (np.linalg.norm(z) + EPS), float(1 / (1 + np.exp(-(energy - low) / max(high - low, EPS))))
 
+    def _median(self, a: int, b: int) -> float:
+        """Of the ranks a to b - 1."""
+        return (self.ranked[(a + b - 1) // 2] + self.ranked[(a + b) // 2]) / 2
+
 
 def calibrate_online(df: DataFrame, keys: Cols, order: str, channels: Cols) -> DataFrame:
     """Adds direction and energy of the online calibrator, row by row in each session's order."""

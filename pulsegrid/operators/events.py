@@ -13,9 +13,11 @@ BOTH = ["WEB_TAB_UPDATE"]
 BOTH_IF = "complete"
 DROPPED = ["NO_KEYPRESS", "KEYPRESS", "ANSWER"]
 ONSET = "RECORDING_ONSET"
+ADMINISTRATIVE = ["RECORDING_ONSET", "RECIPE_CONFIG", "SYSTEM_CONFIG", "CONSENT_INFO"]
 LABEL_EVENT, LABEL_ZONE = "Event", "Zone"
-#: Zones shorter than this (seconds) are dropped on reading.
-SHORTEST_ZONE = 1e-9
+#: Zones shorter than this (seconds) are dropped on reading, and aren't drawn.
+SHORTEST_ZONE, SHORTEST_DRAWN = 1e-9, 1e-6
+ANNOTATION_VERSION = 1
 
 
 def split_events(
@@ -33,20 +35,33 @@ def of_types(df: DataFrame, name: str, wanted: Cols) -> DataFrame:
     return df.filter(F.col(name).isin(wanted))
 
 
-def processed(df: DataFrame) -> DataFrame:
-    """The processed layout: name, PROCESSED, milliseconds, empty, value without quotes; `[]` and null are empty."""
+def processed(df: DataFrame, keep: Cols = ()) -> DataFrame:
+    """The processed layout: name, PROCESSED, milliseconds, empty, value without quotes; `[]` and null are empty. Columns in `keep` come first."""
     value = F.regexp_replace(F.coalesce("value", F.lit("")), '"', "")
     return df.select(
-        "name", F.lit("PROCESSED").alias("state"), (F.col("ts") * 1000).cast("string").alias("ms"), F.lit("").alias("extra"),
+        *keep, "name", F.lit("PROCESSED").alias("state"), (F.col("ts") * 1000).cast("string").alias("ms"), F.lit("").alias("extra"),
         F.when(value == "[]", "").otherwise(value).alias("value"),
     )
 
 
-def seed_annotations(df: DataFrame, keys: Cols, seq: str, onset: str = ONSET, admin: Cols = (ONSET,)) -> DataFrame:
-    """Events as annotation points from the session's first onset, administrative types left out; none without an onset."""
+def seed_annotations(df: DataFrame, keys: Cols, seq: str, onset: str = ONSET, admin: Cols = ADMINISTRATIVE) -> DataFrame:
+    """Events as annotation points from the session's first onset, administrative types left out; none without an onset.
+
+    A point's id follows from the session, the event's place and its name, so that a repeated run gives the same ids.
+    """
     start = F.min_by(F.when(F.col("name") == onset, F.col("ts")), F.when(F.col("name") == onset, F.col(seq))).over(Window.partitionBy(*keys))
     out = df.withColumn("t", F.bround(F.col("ts") - start, 6)).filter(F.col("t").isNotNull() & ~F.col("name").isin(list(admin)))
-    return out.withColumn("label", F.col("name")).withColumn("visible", F.lit(True))
+    digest = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in (*keys, seq, "name")]))
+    return out.withColumn("id", F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).withColumn("label", F.col("name")).withColumn("visible", F.lit(True))
+
+
+def annotation_documents(seeded: DataFrame, keys: Cols, seq: str) -> DataFrame:
+    """(keys, annotations): one JSON document a session, its points in the events' order and no zones."""
+    points = F.array_sort(F.collect_list(F.struct(seq, "id", "t", "label", "visible")))
+    points = F.transform(points, lambda p: F.struct(*[p[n].alias(n) for n in ("id", "t", "label", "visible")]))
+    zones = F.array().cast("array<struct<id:string,t0:double,t1:double,label:string,visible:boolean>>")
+    document = F.struct(F.lit(ANNOTATION_VERSION).alias("version"), points.alias("points"), zones.alias("zones"))
+    return seeded.groupBy(*keys).agg(F.to_json(document, {"pretty": "true"}).alias("annotations"))
 
 
 ANNOTATIONS = (
@@ -90,6 +105,50 @@ def with_point(annotations: Column, item: str, t: Column, t_min: Column, t_max:
     return F.struct(annotations["version"].alias("version"), F.concat(annotations["points"], F.array(point)).alias("points"), annotations["zones"].alias("zones"))
 
 
+def _span(t0: Column, t1: Column, t_min: Column, t_max: Column) -> tuple[Column, Column]:
+    """Both ends within the table's times, the earlier first."""
+    a, b = (F.least(F.greatest(t, t_min), t_max) for t in (t0, t1))
+    return F.least(a, b), F.greatest(a, b)
+
+
+def with_zone(annotations: Column, item: str, t0: Column, t1: Column, t_min: Column, t_max: Column, label: str | None = None) -> Column:
+    """Annotations with one more zone, unless it would be too short; its default label counts the zones."""
+    a, b = _span(t0, t1, t_min, t_max)
+    name = F.lit(label) if label else F.concat(F.lit("Zone "), (F.size(annotations["zones"]) + 1).cast("string"))
+    zone = F.struct(F.lit(item).alias("id"), a.alias("t0"), b.alias("t1"), name.alias("label"), F.lit(True).alias("visible"))
+    zones = F.when(b - a < SHORTEST_DRAWN, annotations["zones"]).otherwise(F.concat(annotations["zones"], F.array(zone)))
+    return F.struct(annotations["version"].alias("version"), annotations["points"].alias("points"), zones.alias("zones"))
+
+
+def _changed(annotations: Column, item: str, point: dict[str, Column], zone: dict[str, Column]) -> Column:
+    """Annotations with some fields of the point or zone of that id replaced."""
+
+    def fields(names: Cols, new: dict[str, Column]):
+        return lambda x: F.when(x["id"] == item, F.struct(*[new.get(n, x[n]).alias(n) for n in names])).otherwise(x)
+
+    return F.struct(
+        annotations["version"].alias("version"),
+        F.transform(annotations["points"], fields(["id", "t", "label", "visible"], point)).alias("points"),
+        F.transform(annotations["zones"], fields(["id", "t0", "t1", "label", "visible"], zone)).alias("zones"),
+    )
+
+
+def moved_point(annotations: Column, item: str, t: Column, t_min: Column, t_max: Column) -> Column:
+    """Annotations with the point of that id at another time, within the table's."""
+    return _changed(annotations, item, {"t": F.least(F.greatest(t, t_min), t_max)}, {})
+
+
+def moved_zone(annotations: Column, item: str, t0: Column, t1: Column, t_min: Column, t_max: Column) -> Column:
+    """Annotations with the zone of that id between other times, swapped ones put right."""
+    a, b = _span(t0, t1, t_min, t_max)
+    return _changed(annotations, item, {}, {"t0": a, "t1": b})
+
+
+def labelled(annotations: Column, item: str, label: str) -> Column:
+    """Annotations with another label of the point or zone of that id."""
+    return _changed(annotations, item, {"label": F.lit(label)}, {"label": F.lit(label)})
+
+
 def listed(df: DataFrame, annotations: str) -> DataFrame:
     """(kind, id, t, t1, label): points by time, then zones by their beginning, as a table."""
     p = df.select(F.lit(0).alias("kind"), F.explode(f"{annotations}.points").alias("x")).select("kind", "x.id", "x.t", F.lit(None).cast("double").alias("t1"), "x.label")

@@ -26,27 +26,27 @@ def refractory(peaks: Column, least: float) -> Column:
     return F.aggregate(F.transform(peaks, lambda p: p.cast("double")), none, lambda kept, p: F.when(F.size(kept) == 0, F.array(p)).otherwise(keep(kept, p)))
 
 
-def quality(x: np.ndarray) -> np.ndarray:
-    """For each sample the best share of power within 0.5 to 4 Hz of the windows over it; 0 outside any window."""
+def quality(x: np.ndarray, rows: int = SQI_ROWS, step: int = SQI_STEP, rate: float = RATE) -> np.ndarray:
+    """For each sample the best share of power within 0.5 to 4 Hz (of 0.1 to 10 Hz) of the windows over it; 0 outside any window with half its samples."""
     best = np.zeros(len(x))
-    for a in range(0, len(x) - SQI_ROWS + 1, SQI_STEP):
-        part = pd.Series(x[a : a + SQI_ROWS])
+    for a in range(0, len(x) - rows + 1, step):
+        part = pd.Series(x[a : a + rows])
         if part.isna().mean() > 0.5:
             continue
-        f, p = dsp.welch(part.ffill().bfill().to_numpy(), RATE, SQI_ROWS)
-        best[a : a + SQI_ROWS] = np.maximum(best[a : a + SQI_ROWS], dsp.band_power(f, p, 0.5, 4) / (dsp.band_power(f, p, 0.1, 10) + 1e-12))
+        f, p = dsp.welch(part.ffill().bfill().to_numpy(), rate, rows)
+        best[a : a + rows] = np.maximum(best[a : a + rows], dsp.band_power(f, p, 0.5, 4) / (dsp.band_power(f, p, 0.1, 10) + 1e-12))
     return best
 
 
-def artefacts(x: np.ndarray) -> np.ndarray:
-    """Spans of outlying energy, 5 s around each; nothing where they would take more than CAP_PERCENT."""
+def artefacts(x: np.ndarray, rows: int = MAD_ROWS, guard: int = GUARD_ROWS, cap: float = CAP_PERCENT) -> np.ndarray:
+    """Spans of outlying energy, 5 s around each; nothing where they would take more than `cap` percent."""
     energy = pd.Series(x).pow(2)
-    roll = lambda s: s.rolling(MAD_ROWS, center=True, min_periods=3).median()
+    roll = lambda s: s.rolling(rows, center=True, min_periods=3).median()
     median = roll(energy)
     mad = roll((energy - median).abs()) * 1.4826
     out = (((energy - median).abs() / mad.where(mad != 0)) > MAD_TIMES).fillna(False).to_numpy()
-    wide = pd.Series(out.astype(float)).rolling(2 * GUARD_ROWS + 1, center=True, min_periods=1).max().to_numpy() > 0
-    return wide if (wide & ~np.isnan(x)).mean() * 100 <= CAP_PERCENT else np.zeros(len(x), bool)
+    wide = pd.Series(out.astype(float)).rolling(2 * guard + 1, center=True, min_periods=1).max().to_numpy() > 0
+    return wide if (wide & ~np.isnan(x)).mean() * 100 <= cap else np.zeros(len(x), bool)
 
 
 def detect(z: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -66,7 +66,8 @@ def fill_beats(peaks: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Peaks with missing ones put in, and which these are.
 
     An interval over 1.5 times the usual one, at most 20 s and free of masked samples, is divided evenly. The usual interval is the median of
-    the last 30 accepted ones, or of all until ten are accepted; an interval is accepted unless much shorter than usual.
+    the last 30 accepted ones, or of all until ten are accepted; an interval is accepted unless much shorter than usual, and of a divided one
+    each part is.
     """
     if len(peaks) < 2:
         return peaks, np.zeros(len(peaks), bool)
@@ -79,6 +80,7 @@ def fill_beats(peaks: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndar
             extra = max(1, round(ibi / usual) - 1)
             out += [int(round(a + (b - a) * (j + 1) / (extra + 1))) for j in range(extra)]
             made += [True] * extra
+            history += [ibi / (extra + 1)] * (extra + 1)
         elif ibi >= usual / 1.5:
             history.append(ibi)
         out.append(int(b))
@@ -114,25 +116,43 @@ def variability(peaks: np.ndarray, mask: np.ndarray) -> pd.DataFrame:
 METRICS = "t double, mean_hr double, mean_nn double, sdnn double, rmssd double, pnn50 double, cvsd double, cvnn double, n_beats long"
 
 
+def standardised(x: np.ndarray, use_masks: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The rolling z-score of a gridded pulse signal, missing in masked spans, and the mask; without masks only missing samples are masked."""
+    missing = np.isnan(x)
+    mask = missing | (quality(x) < SQI_LEAST) if use_masks else missing
+    mask = mask | artefacts(np.where(mask, np.nan, x)) if use_masks else mask
+    clean = pd.Series(np.where(mask, np.nan, x))
+    s = clean.rolling(512, center=True, min_periods=3)
+    return ((clean - s.mean()) / s.std(ddof=0).replace(0, 1.0)).to_numpy(), mask
+
+
+def _kinds(df: DataFrame, columns: Cols) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def normalised_pulse(grid: DataFrame, keys: Cols, y: str = "y", use_masks: bool = True) -> DataFrame:
+    """(keys, i, z, masked) of a gridded pulse signal (keys, i, y)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        z, mask = standardised(pdf[y].to_numpy(float), use_masks)
+        return pdf[[*keys, "i"]].assign(z=z, masked=mask)
+
+    return grid.select(*keys, "i", y).groupBy(*keys).applyInPandas(run, f"{_kinds(grid, [*keys, 'i'])}, z double, masked boolean")
+
+
 def heart_dynamics(grid: DataFrame, keys: Cols, y: str = "y", use_masks: bool = True) -> DataFrame:
     """Metric rows of a gridded pulse signal (keys, i, y); without masks as a quick re-fix of the grid uses it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        x = pdf[y].to_numpy(float)
-        missing = np.isnan(x)
-        mask = missing | (quality(x) < SQI_LEAST) if use_masks else missing
-        mask = mask | artefacts(np.where(mask, np.nan, x)) if use_masks else mask
-        s = pd.Series(np.where(mask, np.nan, x)).rolling(512, center=True, min_periods=3)
-        z = (pd.Series(np.where(mask, np.nan, x)) - s.mean()) / s.std(ddof=0).replace(0, 1.0)
-        peaks, _ = fill_beats(detect(z.to_numpy(), mask), mask)
+        z, mask = standardised(pdf.sort_values("i")[y].to_numpy(float), use_masks)
+        peaks, _ = fill_beats(detect(z, mask), mask)
         out = variability(peaks, mask)
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    kinds = ", ".join(f"{k} {grid.schema[k].dataType.simpleString()}" for k in keys)
-    return grid.select(*keys, "i", y).groupBy(*keys).applyInPandas(run, f"{kinds}, {METRICS}")
+    return grid.select(*keys, "i", y).groupBy(*keys).applyInPandas(run, f"{_kinds(grid, keys)}, {METRICS}")
 
 
 def resampled_pulse(samples: DataFrame, keys: Cols) -> DataFrame:

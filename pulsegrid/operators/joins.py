@@ -95,6 +95,23 @@ def masked_in_span(df: DataFrame, keys: Cols, i: str, mask: str) -> DataFrame:
     return df.withColumn("masked_before", F.coalesce(F.sum(F.col(mask).cast("long")).over(w), F.lit(0)))
 
 
+def masked_in_windows(windows: DataFrame, df: DataFrame, keys: Cols, i: str, mask: str, a: str, b: str) -> DataFrame:
+    """windows with `n_masked`, the masked rows of df numbered `a` to `b`, both included and within the session's rows: a difference of two prefix sums."""
+    sums = masked_in_span(df.select(*keys, F.col(i).alias("__i"), F.col(mask).alias("__m")), keys, "__i", "__m")
+    ends = df.groupBy(*keys).agg(F.min(i).alias("__first"), F.max(i).alias("__last"))
+    out = windows.join(ends, keys).withColumn("__a", F.greatest(F.col(a), "__first")).withColumn("__b", F.least(F.col(b), "__last"))
+    before = sums.select(*keys, F.col("__i").alias("__a"), F.col("masked_before").alias("__before"))
+    through = sums.select(*keys, F.col("__i").alias("__b"), (F.col("masked_before") + F.col("__m").cast("long")).alias("__through"))
+    out = out.join(before, [*keys, "__a"], "left").join(through, [*keys, "__b"], "left")
+    inside = F.when(F.col("__a") <= F.col("__b"), F.col("__through") - F.col("__before")).otherwise(F.lit(0))
+    return out.withColumn("n_masked", inside).drop("__a", "__b", "__first", "__last", "__before", "__through")
+
+
+def outside_masked(points: DataFrame, masked: DataFrame, on: Cols) -> DataFrame:
+    """points whose place (session, or session and sample) isn't among the masked ones."""
+    return points.join(masked.select(*on).distinct(), on, "left_anti")
+
+
 def positional(left: DataFrame, right: DataFrame, keys: Cols, left_order: Cols, right_order: Cols) -> DataFrame:
     """Row n of one table beside row n of the other; the shorter one is filled with nulls."""
     a = left.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)))

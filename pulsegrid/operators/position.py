@@ -42,10 +42,10 @@ def solve_three(frames: DataFrame, ants: str = "ants") -> DataFrame:
 
 def guesses(frames: DataFrame, keys: Cols, order: str, prefer_next: bool = False) -> DataFrame:
     """Adds `guess`: the solved position nearest in time; prefer_next takes the later one whenever there is one."""
-    w = Window.partitionBy(*keys).orderBy(order)
     s = F.when(F.col("pos").isNotNull(), F.struct(F.col(order).alias("t"), F.col("pos").alias("p")))
-    out = frames.withColumn("__b", F.last(s, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    out = out.withColumn("__a", F.first(s, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    tie = F.xxhash64("ants")  # frames of one time have the same order both ways
+    one_way, other = (Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1) for by in ((F.asc(order), tie.asc()), (F.desc(order), tie.desc())))
+    out = frames.withColumn("__b", F.last(s, True).over(one_way)).withColumn("__a", F.last(s, True).over(other))
     back = F.col("__a").isNull() | (F.lit(not prefer_next) & (F.col(order) - F.col("__b.t") < F.col("__a.t") - F.col(order)))
     return out.withColumn("guess", F.when(back, F.col("__b.p")).otherwise(F.col("__a.p"))).drop("__a", "__b")
 

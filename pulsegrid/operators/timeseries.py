@@ -31,18 +31,14 @@ def neighbours(df: DataFrame, keys: Cols, t: str, value: Column, width: float) -
     for each bucket.
     """
     df = df.withColumn("__v", value).withColumn("__b", F.floor(F.col(t) / width))
-    inner = Window.partitionBy(*keys, "__b").orderBy(t)
-    df = df.withColumn("__p", F.last("__v", True).over(inner.rangeBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("__n", F.first("__v", True).over(inner.rangeBetween(0, Window.unboundedFollowing)))
+    upwards, downwards = (Window.partitionBy(*keys, "__b").orderBy(order) for order in (F.asc(t), F.desc(t)))
+    # both frames grow row by row; a frame that shrinks towards the end is evaluated anew for each row
+    df = df.withColumn("__p", F.last("__v", True).over(upwards.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    df = df.withColumn("__n", F.last("__v", True).over(downwards.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     at = F.when(F.col("__v").isNotNull(), F.col(t))
     edges = df.groupBy(*keys, "__b").agg(F.max_by("__v", at).alias("__l"), F.min_by("__v", at).alias("__f"))
-    outer = Window.partitionBy(*keys).orderBy("__b")
-    edges = edges.select(
-        *keys,
-        "__b",
-        F.last("__l", True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.first("__f", True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
-    )
+    before, after = (Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for order in (F.asc("__b"), F.desc("__b")))
+    edges = edges.select(*keys, "__b", F.last("__l", True).over(before).alias("__before"), F.last("__f", True).over(after).alias("__after"))
     out = df.join(edges, [*keys, "__b"])
     out = out.withColumn("prev", F.coalesce("__p", "__before")).withColumn("next", F.coalesce("__n", "__after"))
     return out.drop("__v", "__b", "__p", "__n", "__before", "__after")
@@ -150,6 +146,46 @@ def fill_nearest_side(df: DataFrame, keys: Cols, position: str, y: str, width: f
     return out.withColumn(y, F.coalesce("prev", "next")).drop("prev", "next")
 
 
+def fill_between(df: DataFrame, keys: Cols, x: str, y: str, known: str, width: float) -> DataFrame:
+    """Replaces y where `known` is false by interpolation over x between the known rows beside it; after the last known row its value holds.
+
+    A session whose first row isn't known stays as it is. Between known rows of one x the first one's value holds.
+    """
+    first = F.min_by(known, x).over(Window.partitionBy(*keys))
+    s = F.when(F.col(known), F.struct(F.col(x).alias("t"), F.col(y).alias("y")))
+    out = neighbours(df.withColumn("__first", first), keys, x, s, width)
+    value = F.when(F.col("next").isNull(), F.col("prev.y")).otherwise(lerp(F.col(x), F.col("prev.t"), F.col("prev.y"), F.col("next.t"), F.col("next.y")))
+    return out.withColumn(y, F.when(F.col("__first") & ~F.col(known), value).otherwise(F.col(y))).drop("prev", "next", "__first")
+
+
+def zscore_rows(df: DataFrame, keys: Cols, columns: Cols, limit: float = 3.0, scores: bool = False) -> DataFrame:
+    """Rows whose values all lie within `limit` population deviations of their session's means; with `scores`, those as `z_<column>` too.
+
+    A column of constant or no value isn't judged; a null in a judged one is an outlier.
+    """
+    w = Window.partitionBy(*keys)
+    keep, added = F.lit(True), []
+    for c in columns:
+        df = df.withColumn(f"z_{c}", F.when(F.stddev_pop(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)))
+        judged = F.coalesce(F.stddev_pop(c).over(w) > 0, F.lit(False))
+        keep = keep & (~judged | F.coalesce(F.abs(f"z_{c}") < limit, F.lit(False)))
+        added.append(f"z_{c}")
+    out = df.withColumn("__keep", keep).filter("__keep").drop("__keep")
+    return out if scores else out.drop(*added)
+
+
+def global_z(keys: Cols, y: str) -> Column:
+    """z-score over the whole session, by the population deviation; 0 where all values are equal."""
+    w = Window.partitionBy(*keys)
+    return (F.col(y) - F.avg(y).over(w)) / (F.stddev_pop(y).over(w) + 1e-12)
+
+
+def gaps(df: DataFrame, keys: Cols, t: str, least: float) -> DataFrame:
+    """(keys, start, end, seconds) of each gap of `least` seconds or more between samples."""
+    out = df.withColumn("__g", gap_after(keys, t)).filter(F.col("__g") >= least)
+    return out.select(*keys, F.col(t).alias("start"), (F.col(t) + F.col("__g")).alias("end"), F.col("__g").alias("seconds"))
+
+
 def row_index(df: DataFrame, keys: Cols, order: Cols, name: str = "i") -> DataFrame:
     """Numbers a session's rows from 0."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))

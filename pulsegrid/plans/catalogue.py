@@ -1,7 +1,7 @@
 """The query catalogue: the analytics operators over the driver's tables, each with the SQL that gives the same rows.
 
-Sessions are users, times event times in seconds since 1970, signals event values, channels and event names event types; values of `error` events
-count as missing where an operator is about missing values. Grids are hours and gaps are days, as events of a user are hours apart.
+Here are the relational operators; `row_queries` has those on single rows and on lines of files, `signal_queries` the signal kernels. Grids are hours and
+gaps are days, as events of a user are hours apart.
 """
 
 from __future__ import annotations
@@ -15,57 +15,19 @@ from pulsegrid.functions import scalar
 from pulsegrid.operators import aggregates as agg
 from pulsegrid.operators import joins
 from pulsegrid.operators import timeseries as ts
-from pulsegrid.plans import signal_queries
+from pulsegrid.plans import row_queries, signal_queries
+from pulsegrid.plans.registry import BUCKET, DAY, HOUR, KEYS, Register, seconds, signal, table
+from pulsegrid.plans.registry import IDX as _IDX
+from pulsegrid.plans.registry import indexed as _indexed
 
-HOUR, DAY, BUCKET = 3600.0, 86400.0, 30 * 86400.0
-KEYS = ["session_id"]
+#: What lies between the orders' times and the events', so that the ones are among the others.
+SHIFT = 26 * 365 * DAY
+_register = Register()
 
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_oracles: dict[str, str] = {}
-
-#: Events as a signal; `v` is the value, null for errors.
-_SIG = """WITH sig AS (SELECT user_id AS session_id, event_id, epoch_us(ts) / 1e6 AS t, value AS y,
-  CASE WHEN event_type <> 'error' THEN value END AS v, event_type AS kind, props FROM events)
-"""
-
-
-def _query(sql: str | None = None):
-    def register(f):
-        _queries[f.__name__] = f
-        if sql:
-            _oracles[f.__name__] = sql if sql.lstrip().startswith("WITH RECURSIVE") or "--own" in sql else _SIG + sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def seconds(column: str) -> F.Column:
-    """Seconds since 1970 of a timestamp without zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))") / 1e6
 
-
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"),
-        "event_id",
-        seconds("ts").alias("t"),
-        F.col("value").alias("y"),
-        F.when(F.col("event_type") != "error", F.col("value")).alias("v"),
-        F.col("event_type").alias("kind"),
-        "props",
-    )
-
-
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.row_index(signal(spark, sf_dir), KEYS, ["t", "event_id"])
-
-
-_IDX = """, idx AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t, event_id) - 1 AS i FROM sig)
-"""
+def _query(sql: str):
+    own = sql.lstrip().startswith("WITH RECURSIVE") or "--own" in sql
+    return _register.query(sql, signal=not own)
 
 
 @_query("SELECT session_id, event_id, round(t - first_value(t) OVER (PARTITION BY session_id ORDER BY t, event_id), 3) AS t FROM sig")
@@ -329,13 +291,13 @@ def annotation_seed(spark, sf):
 
 
 @_query(f""", ev AS (SELECT o_custkey AS session_id, o_orderkey AS q, epoch_us(o_orderdate) / 1e6 AS s, epoch_us(o_orderdate) / 1e6 + {90 * DAY} AS e, o_orderpriority AS tag FROM orders),
- h AS (SELECT sig.session_id, event_id, tag, row_number() OVER (PARTITION BY event_id ORDER BY q DESC NULLS LAST) AS r FROM sig LEFT JOIN ev ON sig.session_id = ev.session_id AND t + {-20 * 365 * DAY} BETWEEN s AND e)
+ h AS (SELECT sig.session_id, event_id, tag, row_number() OVER (PARTITION BY event_id ORDER BY q DESC NULLS LAST) AS r FROM sig LEFT JOIN ev ON sig.session_id = ev.session_id AND t + {-SHIFT} BETWEEN s AND e)
  SELECT session_id, event_id, tag FROM h WHERE r = 1""")
 def interval_tag_last_wins(spark, sf):
     """Rows tagged by the last event whose interval holds them."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("q"), seconds("o_orderdate").alias("s"), F.col("o_orderpriority").alias("tag"))
     o = o.withColumn("e", F.col("s") + 90 * DAY)
-    rows = signal(spark, sf).withColumn("t", F.col("t") - 20 * 365 * DAY)
+    rows = signal(spark, sf).withColumn("t", F.col("t") - SHIFT)
     return joins.interval_last_wins(rows, o, KEYS, "t", "s", "e", "q", "tag", 30 * DAY).select("session_id", "event_id", "tag")
 
 
@@ -347,13 +309,13 @@ def zone_containment(spark, sf):
     return joins.containment_last_wins(points, zones, "seq", "label").select("p_partkey", "label")
 
 
-@_query(f""", o AS (SELECT o_custkey AS session_id, epoch_us(o_orderdate) / 1e6 + {20 * 365 * DAY} AS t, max(o_orderkey) AS v FROM orders GROUP BY 1, 2),
+@_query(f""", o AS (SELECT o_custkey AS session_id, epoch_us(o_orderdate) / 1e6 + {SHIFT} AS t, max(o_orderkey) AS v FROM orders GROUP BY 1, 2),
  p AS (SELECT sig.session_id, event_id, sig.t, o.t AS pt, o.v AS pv FROM sig ASOF LEFT JOIN o ON sig.session_id = o.session_id AND sig.t >= o.t),
  n AS (SELECT sig.event_id, o.t AS nt, o.v AS nv FROM sig ASOF LEFT JOIN o ON sig.session_id = o.session_id AND sig.t <= o.t)
  SELECT session_id, event_id, pv AS prev_value, nv AS next_value, CASE WHEN nt IS NULL OR t - pt < nt - t THEN pv ELSE nv END AS nearest_value FROM p JOIN n USING (event_id)""")
 def asof_prev_next_nearest(spark, sf):
     """As-of lookups in either direction, and the nearer of both."""
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), (seconds("o_orderdate") + 20 * 365 * DAY).alias("t"), "o_orderkey")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("session_id"), (seconds("o_orderdate") + SHIFT).alias("t"), "o_orderkey")
     o = o.groupBy("session_id", "t").agg(F.max("o_orderkey").alias("o_orderkey"))
     out = joins.as_of(signal(spark, sf).select("session_id", "event_id", "t"), o, KEYS, "t", F.col("o_orderkey"), 365 * DAY)
     return out.select("session_id", "event_id", "prev_value", "next_value", "nearest_value")
@@ -363,7 +325,7 @@ def asof_prev_next_nearest(spark, sf):
 def anti_masked(spark, sf):
     """Rows outside masked sessions."""
     o = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("session_id")).distinct()
-    return signal(spark, sf).join(o, "session_id", "left_anti").select("session_id", "event_id")
+    return joins.outside_masked(signal(spark, sf), o, KEYS).select("session_id", "event_id")
 
 
 @_query(""", a AS (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS n FROM sig),
@@ -386,7 +348,7 @@ def fuse_on_grid(spark, sf):
     return joins.fuse([a, b], KEYS, "t", DAY).select("session_id", "t", "y", "z")
 
 
-_oracles["fuse_on_grid"] = _oracles["fuse_on_grid"].replace(f"round_even_(t / {DAY})", f"round_even(t / {DAY}, 0)")
+_register.oracles["fuse_on_grid"] = _register.oracles["fuse_on_grid"].replace(f"round_even_(t / {DAY})", f"round_even(t / {DAY}, 0)")
 
 
 @_query("""--own
@@ -527,10 +489,8 @@ def rolling_rank_slices(spark, sf):
  SELECT session_id, event_id, round(CASE WHEN s > 0 THEN (y - m) / s END, 4) AS z FROM sig JOIN m USING (session_id) WHERE s = 0 OR abs((y - m) / s) < 2""")
 def zscore_outlier_rows(spark, sf):
     """Rows without outlying values; channels of constant value are not judged."""
-    w = Window.partitionBy("session_id")
-    df = signal(spark, sf).withColumn("m", F.avg("y").over(w)).withColumn("s", F.stddev_pop("y").over(w))
-    df = df.withColumn("z", F.when(F.col("s") > 0, (F.col("y") - F.col("m")) / F.col("s"))).filter("z is null or abs(z) < 2")
-    return df.select("session_id", "event_id", F.round("z", 4).alias("z"))
+    out = ts.zscore_rows(signal(spark, sf), KEYS, ["y"], limit=2.0, scores=True)
+    return out.select("session_id", "event_id", F.round("z_y", 4).alias("z"))
 
 
 @_query(f""", s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session_id ORDER BY t) < {DAY} THEN 0 ELSE 1 END AS opens FROM sig),
@@ -543,9 +503,12 @@ def gap_sessions(spark, sf):
     return out.select("session_id", "start", "n")
 
 
+_PARTS = (_register, row_queries.REGISTER, signal_queries.REGISTER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _queries | signal_queries.queries()
+    return {name: f for part in _PARTS for name, f in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    return {name: sql for part in _PARTS for name, sql in part.oracles.items()}

@@ -1,12 +1,12 @@
 """Sessions in a folder: finding them, choosing their files, and reading these with fixed schemas.
 
-A session is a folder with rawData/. All sessions are read by one scan per kind of file; session_id is the folder's name.
+A session is a folder with rawData/. All sessions are read by one scan per kind of file; session_id is the folder's name. Which of a session's
+candidate files is used is decided in the data, so the driver asks the file system for nothing but the list of sessions.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +20,7 @@ PULSE = {"shimmer.csv": (0, 5), "rawShimmer_0.csv": (0, 5), "ppg.tmp": (0, 1), "
 SKIN = {"shimmer.csv": (0, 4), "rawShimmer_0.csv": (0, 4), "gsr.tmp": (0, 1), "gsr.csv": (0, 1)}
 HEADSET = ["rawEEG_0.csv", "eeg.tmp", "eeg.csv", "eegRec_0.csv"]
 SATELLITE, RANGING, EVENTS = ["gps.csv", "gps.tmp"], ["uwb_0.csv", "uwb.tmp"], ["rawEvents.csv", "events_0.csv"]
+SIMPLE_EVENTS = ["event.csv"]
 STANDARD = {"rawData", "features", "results", "meta", "experimentConfigs"}
 
 
@@ -42,76 +43,126 @@ def sessions(spark: SparkSession, root: str) -> list[str]:
     return sorted(found)
 
 
-def candidates(spark: SparkSession, folders: Iterable[str], names: Iterable[str]) -> dict[str, list[str]]:
-    """name -> paths: for each session its first file among `names` that has any bytes."""
-    chosen: dict[str, list[str]] = {}
-    for folder in folders:
-        fs, _ = _fs(spark, folder)
-        for name in names:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rawData/{name}")
-            if fs.exists(path) and fs.getFileStatus(path).getLen() > 0:
-                chosen.setdefault(name, []).append(path.toString())
-                break
-    return chosen
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(session_id, path, seq, line) in the order of each file; a file is numbered by the place of its lines."""
+    return _numbered(spark.read.text(paths))
 
 
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(session_id, seq, line) in the order of each file; a file is numbered by the place of its lines."""
-    text = spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+def _numbered(text: DataFrame) -> DataFrame:
+    text = text.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
     text = text.withColumn("seq", F.monotonically_increasing_id())
     folder = F.element_at(F.split("path", "/"), -3)
     order = Window.partitionBy("path").orderBy("block", "seq")
-    return text.select(F.url_decode(folder).alias("session_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), "line")
+    return text.select(F.url_decode(folder).alias("session_id"), "path", (F.row_number().over(order) - 1).cast("long").alias("seq"), "line")
 
 
-def numeric_rows(lines: DataFrame, width: int) -> DataFrame:
+def chosen_lines(spark: SparkSession, folders: list[str], files: dict[str, int]) -> DataFrame:
+    """(session_id, seq, line, name): of each session the lines of its first usable file among `files`, a width (columns that are read) for each name, best first.
+
+    A file can be used if its first line has that many fields and no later line has more fields than the first; an empty, too narrow or ragged one is passed over for the
+    next. A width of 1 takes any file with a line, whatever the fields.
+    """
+    none = "session_id string, seq long, line string, name string"
+    if not folders:
+        return spark.createDataFrame([], none)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(files) + "}")
+    lines = _numbered(reader.text(folders))
+    parts = F.split("path", "/")
+    lines = lines.withColumn("name", F.element_at(parts, -1)).filter(F.element_at(parts, -2) == "rawData")
+    fields = F.size(F.split("line", ","))
+    shape = lines.groupBy("session_id", "path", "name").agg(F.min_by(fields, "seq").alias("first"), F.max(fields).alias("most"))
+    width, rank = (F.element_at(F.create_map(*[F.lit(x) for i, (n, w) in enumerate(files.items()) for x in (n, (w, i)[k])]), F.col("name")) for k in (0, 1))
+    usable = shape.filter((width == 1) | ((F.col("first") >= width) & (F.col("most") <= F.col("first"))))
+    best = usable.groupBy("session_id").agg(F.min_by("path", rank).alias("path"))
+    return lines.join(best, ["session_id", "path"]).select("session_id", "seq", "line", "name")
+
+
+def numeric_rows(lines: DataFrame, width: int, strict: bool = False) -> DataFrame:
     """(session_id, seq, x): the numbers of each line. A first line that isn't numeric is a header and a last one that isn't whole is torn: both are left out.
 
-    Any other line without `width` numbers is an error. Text NULL, empty fields and NaN are null.
+    Any other line without `width` numbers is an error; with `strict` the first and last ones, too. Text NULL, empty fields and NaN are null.
     """
     parts = F.transform(F.split("line", ","), lambda s: F.trim(s))
     x = F.transform(parts, lambda s: F.when(~F.upper(s).isin("NULL", "", "NAN"), s.try_cast("double")))
     bad = (F.size(parts) < width) | F.exists(parts, lambda s: s.try_cast("double").isNull() & ~F.upper(s).isin("NULL", "", "NAN"))
     w = Window.partitionBy("session_id")
     out = lines.filter(F.trim("line") != "").withColumn("x", x).withColumn("__bad", bad)
-    out = out.withColumn("__end", (F.col("seq") == F.min("seq").over(w)) | (F.col("seq") == F.max("seq").over(w)))
-    out = out.filter(~(F.col("__bad") & F.col("__end")))
+    if not strict:
+        out = out.withColumn("__end", (F.col("seq") == F.min("seq").over(w)) | (F.col("seq") == F.max("seq").over(w)))
+        out = out.filter(~(F.col("__bad") & F.col("__end")))
     checked = F.when(F.col("__bad"), F.raise_error(F.concat(F.lit("malformed line "), F.col("seq").cast("string")))).otherwise(F.col("x"))
     return out.select("session_id", "seq", checked.alias("x"))
 
 
+def strict_numbers(spark: SparkSession, paths: list[str], header: bool = False) -> DataFrame:
+    """(session_id, seq, x) of files of numbers alone, but for a header that is left out; anything else is an error."""
+    lines = _lines(spark, paths).select("session_id", "seq", "line")
+    return numeric_rows(lines.filter("seq > 0") if header else lines, 1, strict=True)
+
+
 def two_columns(spark: SparkSession, folders: list[str], files: dict[str, tuple[int, int]]) -> DataFrame:
-    """(session_id, seq, t, y) of a signal, from each session's best file."""
+    """(session_id, seq, t, y) of a signal, from each session's first usable file."""
+    lines = chosen_lines(spark, folders, {name: max(columns) + 1 for name, columns in files.items()})
     out = None
-    for name, paths in candidates(spark, folders, files).items():
-        t, y = files[name]
-        one = numeric_rows(_lines(spark, paths), max(t, y) + 1).select("session_id", "seq", F.col("x")[t].alias("t"), F.col("x")[y].alias("y"))
+    for t, y in dict.fromkeys(files.values()):
+        names = [n for n, columns in files.items() if columns == (t, y)]
+        one = numeric_rows(lines.filter(F.col("name").isin(names)), max(t, y) + 1).select("session_id", "seq", F.col("x")[t].alias("t"), F.col("x")[y].alias("y"))
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "session_id string, seq long, t double, y double")
+    return out
 
 
 def headset(spark: SparkSession, folders: list[str], referenced: bool = False) -> DataFrame:
     """(session_id, seq, t, channels) of the headset; referenced subtracts half the ear channel from all."""
-    paths = [p for ps in candidates(spark, folders, HEADSET).values() for p in ps]
-    if not paths:
-        return spark.createDataFrame([], "session_id string, seq long, t double, " + ", ".join(f"{c} double" for c in CHANNELS))
-    rows = numeric_rows(_lines(spark, paths), 9)
+    return _channels(numeric_rows(chosen_lines(spark, folders, dict.fromkeys(HEADSET, 9)), 9), referenced)
+
+
+def legacy_headset(spark: SparkSession, folders: list[str], referenced: bool = True) -> DataFrame:
+    """headset() as older callers have it: referenced unless told otherwise."""
+    return headset(spark, folders, referenced)
+
+
+def _channels(rows: DataFrame, referenced: bool) -> DataFrame:
     raw = {c: F.col("x")[j + 1] for j, c in enumerate(CHANNELS)}
     named = re_reference(raw) if referenced else raw
     return rows.select("session_id", "seq", F.col("x")[0].alias("t"), *[v.alias(c) for c, v in named.items()])
 
 
+def demo_rows(lines: DataFrame) -> DataFrame:
+    """(session_id, seq, channels) of a demonstration feed: the second to ninth fields; lines with fewer, or others than numbers there, are left out."""
+    x = F.transform(F.slice(F.split(F.trim("line"), ","), 2, 8), lambda s: F.trim(s).try_cast("double"))
+    whole = lines.withColumn("x", x).filter((F.size("x") == 8) & ~F.exists("x", lambda v: v.isNull()))
+    return whole.select("session_id", "seq", *[F.col("x")[j].alias(c) for j, c in enumerate(CHANNELS)])
+
+
 def fixes(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(session_id, t, latitude, longitude) of sessions with two fixes or more."""
-    paths = [p for ps in candidates(spark, folders, SATELLITE).values() for p in ps]
-    if not paths:
-        return spark.createDataFrame([], "session_id string, t double, latitude double, longitude double")
-    rows = numeric_rows(_lines(spark, paths), 3).select("session_id", *[F.col("x")[j].alias(n) for j, n in enumerate(("t", "latitude", "longitude"))])
+    rows = numeric_rows(chosen_lines(spark, folders, dict.fromkeys(SATELLITE, 3)), 3)
+    rows = rows.select("session_id", *[F.col("x")[j].alias(n) for j, n in enumerate(("t", "latitude", "longitude"))])
+    return from_first_fix(rows)
+
+
+def from_first_fix(rows: DataFrame) -> DataFrame:
+    """Fixes with times from each session's first; sessions with one fix are left out."""
     w = Window.partitionBy("session_id")
     rows = rows.withColumn("t", F.col("t") - F.min("t").over(w)).withColumn("__n", F.count("*").over(w))
     return rows.filter("__n >= 2").drop("__n")
 
 
+def regions(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, label, x, y, w, h): rectangles of a file with a header, in its order."""
+    lines = _lines(spark, [path]).select("session_id", "seq", "line")
+    return region_rows(lines)
+
+
+def region_rows(lines: DataFrame) -> DataFrame:
+    """Rectangles of lines whose first one names the columns, in any order."""
+    f = F.transform(F.split("line", ","), lambda s: F.trim(s))
+    first = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    named = lines.withColumn("f", f).withColumn("names", F.first("f").over(first)).filter((F.col("seq") > 0) & (F.trim("line") != ""))
+    value = lambda n: F.get("f", F.array_position("names", n).cast("int") - 1)
+    return named.select("seq", value("label").alias("label"), *[value(n).try_cast("double").alias(n) for n in ("x", "y", "w", "h")])
+
+
 def ranging_frames(lines: DataFrame) -> DataFrame:
     """(session_id, seq, t, ants) of ranging lines; times in seconds from the first physical line, whatever it holds."""
     fields = F.split(F.regexp_replace("line", '[" ]', ""), ",")
@@ -196,7 +247,75 @@ def has_bands(spark: SparkSession, path: str, columns: set[str], channels: set[s
     if not fs.exists(p):
         return False
     df = spark.read.parquet(path)
-    return columns <= set(df.columns) and channels <= {r[0] for r in df.select("channel").distinct().limit(1000).collect()}
+    return columns <= set(df.columns) and df.filter(F.col("channel").isin(list(channels))).select("channel").distinct().count() == len(channels)
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A result table as a viewer shows it."""
+
+    table: str
+    label: str
+    y_label: str
+    y_range: tuple[float, float] | None = None
+    filled: bool = False
+
+
+#: The result tables in the order in which they are shown.
+METRICS = {
+    "emotions": Metric("Emotions", "Emotions", "Probability", (0.0, 1.0), True),
+    "arousal": Metric("Arousal", "Arousal", "EDA (z-score)"),
+    "cognition": Metric("Cognition", "Cognition", "Index"),
+    "heartdynamics": Metric("HeartDynamics", "Heart Dynamics", "HRV Metrics"),
+}
+
+
+def result(spark: SparkSession, out: str, table: str, session: str | None = None) -> DataFrame | None:
+    """A result table, or a session's part of it; None where there is none."""
+    fs, p = _fs(spark, f"{out}/{table}")
+    if not fs.exists(p):
+        return None
+    df = spark.read.parquet(f"{out}/{table}")
+    if session is None:
+        return df
+    own = df.filter(F.col("session_id") == session)
+    return None if own.isEmpty() else own
+
+
+def available_metrics(spark: SparkSession, out: str, session: str) -> list[str]:
+    """The metrics that a session has results of, in the order in which they are shown."""
+    return [key for key, m in METRICS.items() if result(spark, out, m.table, session) is not None]
+
+
+def ensure_layout(spark: SparkSession, folder: str) -> None:
+    """Moves a session's files into rawData/ if it has none, but for the standard subfolders, and makes these; a second call changes nothing."""
+    fs, top = _fs(spark, folder)
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    raw = new(f"{folder}/rawData")
+    if not fs.exists(raw):
+        entries = [s.getPath() for s in fs.listStatus(top)]
+        fs.mkdirs(raw)
+        for path in entries:
+            if path.getName() not in STANDARD:
+                fs.rename(path, new(f"{folder}/rawData/{path.getName()}"))
+    for name in sorted(STANDARD):
+        fs.mkdirs(new(f"{folder}/{name}"))
+
+
+def preflight(spark: SparkSession, folder: str, needs: str | None = None) -> str | None:
+    """What keeps a session from being processed, or None. needs: a file below the folder that an earlier run has made, such as features/ppg/ppg_resampled.csv."""
+    if not folder:
+        return "No session folder is given."
+    fs, top = _fs(spark, folder)
+    if not fs.exists(top) or not fs.getFileStatus(top).isDirectory():
+        return "The session path isn't a folder."
+    if needs is not None:
+        there = fs.exists(_fs(spark, f"{folder}/{needs}")[1])
+        return None if there else f"{needs} is missing: process the session first."
+    ensure_layout(spark, folder)
+    if not fs.listStatus(_fs(spark, f"{folder}/rawData")[1]):
+        return "rawData is empty."
+    return None
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,13 @@ def write_metric(df: DataFrame, root: str, name: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{root}/{name}")
 
 
+def write_headerless(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Rows of some columns as files without a header, as processed events are kept."""
+    df.select(*columns).write.mode("overwrite").option("header", False).option("emptyValue", "").csv(path)
+
+
 def export_csv(df: DataFrame, path: str, name: str, header: bool = True) -> None:
+    """A result table as text, with the decimals and the text for missing values that its name has."""
     digits = DECIMALS.get(name)
     if digits is not None:
         df = df.select(*[F.format_string(f"%.{digits}f", c).alias(c) if t == "double" and c not in ("Timestamp", "t") else F.col(c) for c, t in df.dtypes])

@@ -1,8 +1,8 @@
 """Live packets of headsets: losses, late packets and duplicates by sequence number, with state for each device.
 
-Sequence numbers count modulo 128. The signed distance to the last number decides: a positive one counts the packets lost between, a negative
-one is a late packet, 0 a duplicate; late packets and duplicates are left out, as their place has been given to nulls. A lost packet is ten rows of
-nulls. The same function runs on a table and on a stream.
+Sequence numbers count modulo 128; the signed distance to the newest number gives a packet its place. Packets leave in the order of their places. A
+missing one is waited for until the newest is HOLD places ahead of it; if it comes by then it takes its place, else it is lost, and is ten rows of nulls. A
+duplicate, and a packet whose place has left, are left out. The same function runs on a table and on a stream.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.functions import scalar
 
 MODULUS, ROWS_PER_PACKET, FRAME = 128, 10, 24
+#: Places that a missing packet is waited for, and the packets and movement samples that may queue.
+HOLD, PACKET_QUEUE, MOTION_QUEUE = 10, 256, 128
 ROWS = "device_id string, n long, " + ", ".join(f"{c} double" for c in scalar.CHANNELS)
 
 
@@ -34,44 +36,112 @@ def distance(last: int, now: int) -> int:
     return (now - last + MODULUS // 2) % MODULUS - MODULUS // 2
 
 
-def _advance(device: str, packets: pd.DataFrame, last: int | None, n: int) -> tuple[list[tuple], int | None, int]:
-    rows: list[tuple] = []
-    for packet in packets["packet"]:
+class Order:
+    """The packets of a device on their way out: places from `head` on wait in `held`; `newest` is the largest place so far, `n` the next row's number."""
+
+    def __init__(self, head: int = 0, newest: int = -1, last: int = -1, n: int = 0, held: dict[int, bytes] | None = None) -> None:
+        self.head, self.newest, self.last, self.n, self.held = head, newest, last, n, held or {}
+
+    def push(self, packet: bytes, hold: int) -> list[list[float] | None]:
+        """Rows that a packet sets free; None is a row of nulls."""
         seq = packet[0] % MODULUS
-        step = 1 if last is None else distance(last, seq)
-        if step <= 0:
-            continue
-        for _ in range((step - 1) * ROWS_PER_PACKET):
-            rows.append((device, n, *[None] * 8))
-            n += 1
-        for values in decode_headset(packet):
-            rows.append((device, n, *values))
-            n += 1
-        last = seq
-    return rows, last, n
+        place = self.newest + (distance(self.last, seq) if self.newest >= 0 else 1)
+        if place < self.head or place in self.held:
+            return []
+        self.held[place] = packet
+        if place > self.newest:
+            self.newest, self.last = place, seq
+        return self._free(hold)
+
+    def flush(self) -> list[list[float] | None]:
+        """What is left, as at the end of a recording."""
+        return self._free(0)
+
+    def _free(self, hold: int) -> list[list[float] | None]:
+        rows: list[list[float] | None] = []
+        while self.head <= self.newest and (self.head in self.held or self.newest - self.head >= hold):
+            rows += decode_headset(self.held.pop(self.head)) if self.head in self.held else [None] * ROWS_PER_PACKET
+            self.head += 1
+        return rows
+
+    def numbered(self, device: str, rows: list[list[float] | None]) -> list[tuple]:
+        out = [(device, self.n + j, *(values or [None] * 8)) for j, values in enumerate(rows)]
+        self.n += len(rows)
+        return out
+
+
+def live_rows(packets: DataFrame, hold: int = HOLD, queue: int | None = None) -> DataFrame:
+    """Rows of a stream of (device_id, arrived, packet), numbered for each device, nulls where packets were lost.
+
+    queue: of a batch's packets of a device only so many, the newest, are taken, and the dropped ones count as lost; None takes all.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            head, newest, last, n, places, kept = state.get
+            own = Order(head, newest, last, n, dict(zip(places, map(bytes, kept))))
+        else:
+            own = Order()
+        packets = pd.concat(list(batches)).sort_values("arrived", kind="stable")
+        packets = packets if queue is None else packets.tail(queue)
+        rows = [r for p in packets["packet"] for r in own.numbered(key[0], own.push(bytes(p), hold))]
+        state.update((own.head, own.newest, own.last, own.n, list(own.held), list(own.held.values())))
+        yield pd.DataFrame(rows, columns=["device_id", "n", *scalar.CHANNELS])
+
+    kept = "head long, newest long, last int, n long, places array<long>, held array<binary>"
+    return packets.groupBy("device_id").applyInPandasWithState(step, ROWS, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def batch_rows(packets: DataFrame, hold: int = HOLD, flush: bool = True) -> DataFrame:
+    """The same rows of a table; without `flush` what a stream would still hold at its end is left out."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        device, own = pdf.device_id.iloc[0], Order()
+        rows = [r for p in pdf.sort_values("arrived", kind="stable").packet for r in own.numbered(device, own.push(bytes(p), hold))]
+        rows += own.numbered(device, own.flush()) if flush else []
+        return pd.DataFrame(rows, columns=["device_id", "n", *scalar.CHANNELS])
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, n = state.get if state.exists else (None, 0)
-    packets = pd.concat(list(batches)).sort_values("arrived", kind="stable")
-    rows, last, n = _advance(key[0], packets, None if last is None or last < 0 else last, n)
-    state.update((-1 if last is None else last, n))
-    yield pd.DataFrame(rows, columns=["device_id", "n", *scalar.CHANNELS])
+    return packets.groupBy("device_id").applyInPandas(run, ROWS)
 
 
-def live_rows(packets: DataFrame) -> DataFrame:
-    """Rows of a stream of (device_id, arrived, packet), numbered for each device, nulls where packets were lost."""
-    return packets.groupBy("device_id").applyInPandasWithState(_step, ROWS, "last int, n long", "append", GroupStateTimeout.NoTimeout)
+LANDED = "device_id string, arrived long, packet binary"
 
 
-def batch_rows(packets: DataFrame) -> DataFrame:
-    """The same rows of a table."""
+def landed_packets(files: DataFrame) -> DataFrame:
+    """(device_id, arrived, packet) of files (path, content) in a landing folder, named device-number: packets with a 16-bit little-endian length before each.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _, _ = _advance(pdf.device_id.iloc[0], pdf.sort_values("arrived", kind="stable"), None, 0)
-        return pd.DataFrame(rows, columns=["device_id", "n", *scalar.CHANNELS])
+    arrived: the file's number times 2^32, plus the packet's place in it. A torn packet at a file's end is left out.
+    """
 
-    return packets.groupBy("device_id").applyInPandas(run, ROWS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf.path, pdf.content):
+                device, _, number = path.rpartition("/")[2].partition(".")[0].rpartition("-")
+                at, place = 0, int(number) << 32
+                while at + 2 <= len(content):
+                    end = at + 2 + int.from_bytes(content[at : at + 2], "little")
+                    if end > len(content):
+                        break
+                    rows.append((device, place, bytes(content[at + 2 : end])))
+                    at, place = end, place + 1
+            yield pd.DataFrame(rows, columns=["device_id", "arrived", "packet"])
+
+    return files.select("path", "content").mapInPandas(run, LANDED)
+
+
+def packet_source(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
+    """The stream of packets that land as files in a folder; files_per_batch bounds what a batch takes, so a backlog waits in the folder."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return landed_packets(files.option("maxFilesPerTrigger", files_per_batch).load(folder))
+
+
+def commands(devices: DataFrame, kind: str, payload: str | None = None) -> DataFrame:
+    """(topic, message): a START, STOP or TAG for each device (id), as JSON; a TAG carries its payload."""
+    if kind not in ("START", "STOP", "TAG"):
+        raise ValueError(f"{kind} isn't a command")
+    fields = [F.lit(kind).alias("command"), *([F.lit(payload).alias("payload")] if payload is not None else [])]
+    return devices.select(F.concat(F.lit("devices/"), F.col("id"), F.lit("/command")).alias("topic"), F.to_json(F.struct(*fields)).alias("message"))
 
 
 def motion_rows(packets: DataFrame) -> DataFrame:
