@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.shared import save, shared_dir
 
 DOCS_PER_PART = 8_000
-CACHED_WORDS = 700_000
+#: Pieces of a generation that a worker keeps.
+CACHED_WORDS = 450_000
 READ_TOKENS = 2_000_000
 
 
@@ -35,41 +36,57 @@ def _encoder(tokenizer_json: str, kind: str):
     """bytes of a text -> bytes of its ids. A worker process keeps its encoder from task to task.
 
     A tokenizer of the known steps (see _by_pieces) lower-cases, drops white space and never joins what white space or a full stop or comma parts
-    from letters, so a text's ids are those of its pieces between ASCII white space. Each piece is encoded by the library when it is first met; one of
-    Latin-1 letters in another case, or with such a mark at its end, is made of pieces already met. Any other tokenizer gets whole texts.
+    from letters, so a text's ids are those of its pieces between ASCII white space. Each piece is encoded by the library when it is first met, one of small Latin-1 letters by its model
+    alone, as no other step changes it; one with capitals, or with such a mark at its end, is made of pieces already met. Any other tokenizer gets whole texts.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     if (key := (hash(tokenizer_json), kind)) in _encoders:
         return _encoders[key]
     tokenizer = Tokenizer.from_str(tokenizer_json)
     code = "H" if kind == "<u2" else "I"
 
-    def by_library(text: str) -> bytes:
-        ids = array(code, tokenizer.encode(text, add_special_tokens=False).ids)
+    def as_bytes(numbers: list[int]) -> bytes:
+        ids = array(code, numbers)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
+    def by_library(text: str) -> bytes:
+        return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    split = tokenizer.model.tokenize  # of one word, in the letters that stand for bytes
+    byte_letters = str.maketrans({c: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if c.isalpha()})
+
     class Pieces(dict):
+        """Ids of pieces in two generations: when one is full it becomes the older one, and what is used of that moves on."""
+
+        older: dict = {}
+
         def __missing__(self, piece: bytes) -> bytes:
-            text = piece.decode()
-            bare = text[:-1] if text[-1] in ".," else text
-            plain = bare.isalpha() and max(bare) < "\u0100"  # letters whose lower case is one letter, whatever stands around them
-            if plain and bare != text:
-                ids = self[bare.encode()] + self[text[-1:].encode()]
-            elif plain and (low := text.lower()) != text:
-                ids = self[low.encode()]
-            else:
-                ids = by_library(text)
+            if (ids := self.older.get(piece)) is None:
+                ids = self.made(piece)
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
             return ids
 
+        def made(self, piece: bytes) -> bytes:
+            text = piece.decode()
+            bare = text[:-1] if text[-1] in ".," else text
+            if not (bare.isalpha() and max(bare) < "\u0100"):
+                return by_library(text)
+            # letters whose lower case is one letter, whatever stands around them
+            if bare != text:
+                return self[bare.encode()] + self[text[-1:].encode()]
+            if (low := text.lower()) != text:
+                return self[low.encode()]
+            return as_bytes([t.id for t in split(text.translate(byte_letters))])
+
     known = Pieces()
 
     def encode(text: bytes) -> bytes:
-        if len(known) > CACHED_WORDS:
-            known.clear()
         return b"".join(map(known.__getitem__, text.split()))
 
     _encoders.clear()
