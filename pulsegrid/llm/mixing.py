@@ -27,10 +27,13 @@ def _divide(nodes: DataFrame, parent: list[str], budget: str = "budget") -> Data
     By ascending capacity / weight, children take all they have as long as the level stays above; the others divide the rest by weight.
     """
     by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = by.orderBy(F.col("capacity") / F.col("weight"), *[F.col(c).asc_nulls_first() for c in nodes.columns if c.startswith("level_")])
+    names, ratio = [c for c in nodes.columns if c.startswith("level_")], F.col("capacity") / F.col("weight")
+    order = by.orderBy(ratio, *[F.col(c).asc_nulls_first() for c in names])
+    downwards = by.orderBy(ratio.desc(), *[F.col(c).desc_nulls_last() for c in names])
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     nodes = nodes.withColumn("full_before", F.coalesce(F.sum("capacity").over(before), F.lit(0.0)))
-    nodes = nodes.withColumn("weight_left", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # frames that grow row by row, in either order: one that shrinks is evaluated anew for each row
+    nodes = nodes.withColumn("weight_left", F.sum("weight").over(downwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     level = (F.col(budget) - F.col("full_before")) / F.col("weight_left")
     # the level of the first child that isn't exhausted holds for all that follow
     nodes = nodes.withColumn("level", F.when(level * F.col("weight") < F.col("capacity"), level))
@@ -88,16 +91,20 @@ def mix(
     levels: the tree from the root, names and expressions on docs; a null is a node of its own, weighted as ''. weights: for each
     level, weights by the node's name; 1 where none is given, and 0 leaves a node out. tokens: the budget, a number or an expression on
     `all_tokens`, the tokens of all documents. A leaf takes a document while the tokens up to and with it are within its budget. Order within an
-    epoch: md5 of "seed:epoch:doc_id", then doc_id, then md5 of the text; rows equal in these are taken together or not at all. The docs' own columns `epoch` and `n_tokens` are replaced. An
-    empty table gives an empty result.
+    epoch: md5 of "seed:epoch:doc_id", then doc_id, then md5 of the text; rows equal in these are taken together or not at all. The docs' own columns `epoch` and `n_tokens` are replaced, and all
+    others kept, whatever their names. An empty table gives an empty result.
     """
     columns = list(levels)
-    own = [c for c in docs.columns if c not in ("epoch", "n_tokens")]
-    counted = docs.select(*(f"`{c}`" for c in own), *[levels[c].alias(f"level_{i}") for i, c in enumerate(columns)])
-    counted = counted.withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+    given = [c for c in docs.columns if c not in ("epoch", "n_tokens")]
+    # inside, the caller's columns have names of their own, so that none can clash with those used here
+    inside = {c: f"own_{i}" for i, c in enumerate(given)}
+    own = [inside[c] for c in given]
+    counted = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()], *[levels[c].alias(f"level_{i}") for i, c in enumerate(columns)])
+    text, doc_id = F.col(inside["text"]), F.col(inside["doc_id"])
+    counted = counted.withColumn("n_tokens", F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
     names = [f"level_{i}" for i in range(len(columns))]
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    small = counted.select("doc_id", F.md5("text").alias("text_md5"), *names, "n_tokens")
+    small = counted.select(doc_id.alias("doc_id"), F.md5(text).alias("text_md5"), *names, "n_tokens")
     small = save(small, "counted")
     leaves = save(small.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     budgets = save(leaf_budgets(leaves, columns, weights, tokens, epochs), "budgets")
@@ -132,15 +139,13 @@ def mix(
     plan = save(_full_null_safe(plan, ends, names), "plan")
 
     chosen = _null_safe(counted, F.broadcast(plan) if _few(plan) else plan, names)
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("partial.epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    mine = F.struct(place.alias("place"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("md5"))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("partial.epoch"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    mine = F.struct(place.alias("place"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("id"), F.coalesce(F.md5(text), F.lit("")).alias("md5"))
     taken = F.coalesce((F.substring(place, 1, RANGE_DIGITS) < F.col("partial.edge")) | (mine <= F.col("partial.cut")), F.lit(False))
     epochs_of = F.concat(
         F.coalesce("whole", F.array().cast("array<int>")), F.when(taken, F.array("partial.epoch")).otherwise(F.array().cast("array<int>"))
     )
-    return chosen.select(*(f"`{c}`" for c in own), F.explode(epochs_of).alias("epoch"), "n_tokens", *names).select(
-        *(f"`{c}`" for c in own), "epoch", "n_tokens"
-    )
+    return chosen.select(*[F.col(n).alias(c) for c, n in inside.items()], F.explode(epochs_of).alias("epoch"), "n_tokens")
 
 
 def _few(df: DataFrame, most: int = 10_000) -> bool:

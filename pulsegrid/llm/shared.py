@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _own: dict[str, str] = {}
+_tables: list[str] = []
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column in `taken` has it in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +46,8 @@ def _remove(spark: SparkSession, run: str) -> None:
     """Deletes a run's tables as the driver ends; results are lazy and may read them until then."""
     if spark.sparkContext._jsc is None:
         return
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     path = spark._jvm.org.apache.hadoop.fs.Path(run)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -49,18 +60,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Buckets of a table at most; Spark refuses more than 100,000. Beyond that a bucket holds several keys' groups, which are handled one after the other.
+MAX_BUCKETS = 50_000
+
+
 def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like save(), bucketed by a key: a later step that needs the key's rows together reads them so, without a shuffle."""
+    """Like save(), bucketed by a key: a later step that needs the key's rows together reads them so, without a shuffle. The table's entry in the catalogue goes with its files."""
     spark = df.sparkSession
     path = shared_dir(spark)
     table = f"pulsegrid_{name}_{path.rpartition('/')[2]}"
-    writer = df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{path}/{name}")
+    _tables.append(table)
+    writer = df.write.bucketBy(min(buckets, MAX_BUCKETS), key).option("compression", "zstd").option("path", f"{path}/{name}")
     writer.saveAsTable(table)
     return spark.table(table)
 
 
-#: A key with more than one in so many rows is hot; so there are at most this many hot keys.
-HOT_KEYS = 1000
+#: A key with more than one in so many rows is hot, and with more than HOT_LEAST; so there are at most this many hot keys.
+HOT_KEYS, HOT_LEAST = 1000, 1000
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
@@ -70,7 +86,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, count: str, how: st
     gathers a hot key's rows; the others by a shuffle. Left should be cheap to read twice (a saved table).
     """
     total = right.agg(F.sum(count)).first()[0] or 0
-    bar = max(10_000, total // HOT_KEYS)
+    bar = max(HOT_LEAST, total // HOT_KEYS)
     if total <= bar:
         return left.join(right.drop(count), key, how)
     hot = right.filter(F.col(count) > bar).drop(count)
@@ -85,26 +101,38 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of `edges` (a, b: long): root is the smallest node that can be reached.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every step is one pass over edges, never
-    more edges than before, about log(nodes) rounds; each round is a table in the shared folder. Nodes of no edge, and
+    more edges than before, about log(nodes) rounds; each round is a table in the shared folder, of which the last two are kept. A hub's edges, a third
+    of all perhaps, stay where they are: its least neighbour, found by partial aggregation, comes to them by broadcast (join_unique). Nodes of no edge, and
     self-loops, have no row. An empty table gives an empty result.
     """
     now = save(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    by_a = Window.partitionBy("a")
-    seen = None
+    seen, before = None, None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # a hub's edges meet its minimum in a join, which Spark splits where it is skewed
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = large.withColumn("m", F.min("b").over(by_a))
-        small = small.select(
-            F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
-        ).select("e.*")
-        now = save(small.filter("a <> b").distinct(), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        # large star: a node's larger neighbours go to the least of it and its neighbours
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = join_unique(both.filter("b > a"), save(least.filter("n > 0"), "least"), "a", "n", "inner")
+        large = save(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "large")
+        # small star: a node and its smaller neighbours go to the least of these
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_unique(large, save(least, "least"), "a", "n", "inner")
+        pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        after = save(small.select(F.explode(pairs).alias("e")).select("e.*").filter("a <> b").distinct(), "edges")
+        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if before is not None:
+            discard(before)
+        before, now = now, after
         if tuple(mark) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = tuple(mark)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def discard(saved: DataFrame) -> None:
+    """Deletes a table of save() that nothing will read again."""
+    spark = saved.sparkSession
+    for name in {f.rpartition("/")[0] for f in saved.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
