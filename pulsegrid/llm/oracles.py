@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulsegrid.llm.secrets import ADDED_RULES, BASE_RULES
 from pulsegrid.llm.suffix_dedup import ORACLE_SQL as REPEATED_PASSAGES
 
 NEAR_DUPLICATES = """
@@ -54,4 +55,27 @@ ranked AS (SELECT doc_id, lang, source, epoch, n, tokens, left_over,
 SELECT doc_id, lang, source, epoch, n AS n_tokens FROM ranked WHERE left_over >= tokens OR up_to <= left_over
 """
 
-ORACLES = {"op2_suffix_dedup": REPEATED_PASSAGES, "op5_minhash_near_dedup": NEAR_DUPLICATES, "op10_source_mixing": SOURCE_MIXING}
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rule(rank: int, rule) -> str:
+    """A row for each match of a rule that is long enough: its begin is all that comes before it, pieces between matches and matches."""
+    pattern = _quoted(rule.pattern)
+    return f"""SELECT doc_id, row, {rank} AS rank, '{rule.kind}' AS kind, list_sum(list_transform(gaps[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda x: len(x))), 0)::BIGINT AS start, len(hits[i]) AS size
+ FROM (SELECT doc_id, row, gaps, hits, judged, unnest(range(1, len(hits) + 1)) AS i FROM
+  (SELECT doc_id, row, string_split_regex(text, {pattern}) AS gaps, regexp_extract_all(text, {pattern}, 0) AS hits, regexp_extract_all(text, {pattern}, {rule.group}) AS judged FROM docs WHERE regexp_matches(text, {pattern})))
+ WHERE len(judged[i]) >= {rule.least}"""
+
+
+_RULES = BASE_RULES + ADDED_RULES
+_JOINED = "coalesce(string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank)"
+SECRET_SCAN = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_rule(rank, rule) for rank, rule in enumerate(_RULES))})
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)},
+ sha256({_JOINED} FILTER (rank < {len(BASE_RULES)}), '')) AS base_sha256, {_JOINED} FILTER (rank IS NOT NULL), '') AS spans
+FROM docs d LEFT JOIN spans s ON s.row = d.row GROUP BY d.row, d.doc_id
+"""
+
+ORACLES = {"op2_suffix_dedup": REPEATED_PASSAGES, "op5_minhash_near_dedup": NEAR_DUPLICATES, "op9_secret_scan": SECRET_SCAN, "op10_source_mixing": SOURCE_MIXING}

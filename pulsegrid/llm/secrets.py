@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.shared import fresh
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -151,6 +153,11 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return postings.select("key", met.alias("rules")).filter(F.size("rules") > 0)
 
 
+#: Matches of a text whose spans are gathered at once: arrays are copied as they grow, so a long one is made of blocks.
+BLOCK = 1_024
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+
 def spans_of(rule: Rule, order: int, text: Column) -> Column:
     """array<struct<start, rank, kind, end>> of a rule's matches in a text; code points, end exclusive.
 
@@ -160,39 +167,48 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     judged = hits if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), judged.alias("judged"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>").alias("out"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int"))
+    blocks = F.transform(numbers, lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
+    none = F.array().cast(_SPANS)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"), none.alias("own"))
 
     def step(so_far: Column, part: Column) -> Column:
         begin = so_far["at"] + F.length(part["gap"])
         end = begin + F.coalesce(F.length(part["hit"]), F.lit(0))
         span = F.struct(begin.alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        out = F.when(F.length(part["judged"]) >= rule.least, F.concat(so_far["out"], F.array(span))).otherwise(so_far["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        own = F.when(F.length(part["judged"]) >= rule.least, F.concat(so_far["own"], F.array(span))).otherwise(so_far["own"])
+        return F.struct(end.alias("at"), so_far["out"].alias("out"), own.alias("own"))
+
+    def block(so_far: Column, own: Column) -> Column:
+        closed = lambda x: F.struct(x["at"].alias("at"), F.concat(x["out"], F.array(x["own"])).alias("out"), none.alias("own"))
+        return F.aggregate(own, so_far, step, closed)
 
-    return F.aggregate(parts, start, step, lambda x: x["out"])
+    return F.aggregate(blocks, start, block, lambda x: F.flatten(x["out"]))
 
 
 def find_secrets(docs: DataFrame, added: tuple[Rule, ...] = ADDED_RULES) -> DataFrame:
     """docs, with all its columns, and `secrets`: array<struct<start, rank, kind, end>> by start, then rank of the kind.
 
-    docs needs doc_id and text. A null text is empty and has no secrets; null doc_ids and repeated rows are rows like others; clashing names
-    (secrets, __key, __rules) of docs must be renamed before; an empty table gives an empty result. Work is linear in texts but for documents with thousands of secrets.
+    docs needs doc_id and text; a column `secrets` of its own is replaced, all others stay, whatever their names. A null text is empty and has no secrets; null
+    doc_ids and repeated rows are rows like others; an empty table gives an empty result.
     """
     rules = BASE_RULES + added
+    own = [c for c in docs.columns if c.lower() != "secrets"]
+    at, met = fresh("__key", own), fresh("__rules", own)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     named = sorted(set().union(*map(trigrams_of, queries.values())))
     key = F.xxhash64("doc_id", "text")
     index = trigram_index(docs.filter("text is not null").select(key.alias("key"), "text"), named)
-    proposed = candidates(index, rules).select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
-    joined = docs.withColumn("__key", key).join(proposed, "__key", "left")
+    proposed = candidates(index, rules).select(F.col("key").alias(at), F.col("rules").alias(met))
+    joined = docs.select(*(f"`{c}`" for c in own), key.alias(at)).join(proposed, at, "left")
     text = F.coalesce("text", F.lit(""))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    none = F.array().cast(_SPANS)
     found = []
     for order, rule in enumerate(rules):
-        asked = F.array_contains("__rules", rule.kind) if queries[rule.kind] is not None else text.rlike(rule.pattern)
+        asked = F.array_contains(met, rule.kind) if queries[rule.kind] is not None else text.rlike(rule.pattern)
         found.append(F.when(asked, spans_of(rule, order, text)).otherwise(none))
     every = F.array_sort(F.concat(*found))
-    return joined.select(*(f"`{c}`" for c in docs.columns), every.alias("secrets"))
+    return joined.select(*(f"`{c}`" for c in own), every.alias("secrets"))
 
 
 def span_text(secrets: Column, base_only: bool = False) -> Column:
