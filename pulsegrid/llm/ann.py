@@ -4,7 +4,7 @@ Method. A bounded sample is bisected again and again by 2-means with a cut at th
 centroids of equally long posting lists. Every vector joins the list of its nearest centroid, and a vector near a boundary also those
 of further centroids at most CLOSURE times as far, unless one that it joined already lies closer to such a centroid than it does (then it adds
 nothing). Centroids are searched through a neighbour graph in memory. A query visits the lists whose centroids are at most
-``reach`` times as far as its nearest one, so a query within a tight cluster visits few lists and one in open space many. Candidates of
+``reach`` times as far as its nearest one, however many these are, so a query within a tight cluster visits few lists and one in open space many. Candidates of
 those lists are compared exactly, in double precision, on the original vectors.
 
 All rows are indexed; only the centroids come from a sample. Lists longer than CHUNK rows are dealt to several tasks, each of which gives its best few
@@ -161,11 +161,20 @@ def _route(shared, reach: float, width: int):
         for whole in batches:
             for begin in range(0, whole.num_rows, 256):
                 batch = whole.slice(begin, 256)
-                found, away = graph.search(_unit(_vectors(batch.column("embedding"))), width)
-                visit = (found >= 0) & (away <= reach * np.maximum(away[:, :1], 1e-9) + 1e-12)
-                rows, at = np.nonzero(visit)
+                unit = _unit(_vectors(batch.column("embedding")))
+                found, away = graph.search(unit, width)
+                bar = reach * np.maximum(away[:, :1], 1e-9) + 1e-12
+                rows, at = np.nonzero((found >= 0) & (away <= bar))
+                lists = found[rows, at]
+                # where the last list found is within reach, further ones may be: all centroids are compared
+                more = np.flatnonzero((found[:, -1] >= 0) & (away[:, -1] <= bar[:, 0]))
+                if len(more) and found.shape[1] < len(graph.centroids):
+                    every = np.sqrt(np.maximum(0, 2 - 2 * unit[more] @ graph.centroids.T)) <= bar[more]
+                    every[np.arange(len(more))[:, None], found[more]] = False
+                    i, far = np.nonzero(every)
+                    rows, lists = np.concatenate([rows, more[i]]), np.concatenate([lists, far])
                 out = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(found[rows, at]), *out.columns], ["list", *out.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(lists), *out.columns], ["list", *out.schema.names])
 
     return run
 
@@ -218,7 +227,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = 5, reach: float = REACH,
 
     Nearness is the cosine, in double precision; rank from 1, ties to the smaller vec_id. Rows with a null vec_id, and vectors that are null, zero,
     hold null or non-finite components or haven't the length that most vectors have (ties: the shortest), take no part. Repeated rows are rows:
-    equal vectors are each other's nearest. Fewer rows than k give what there is; more columns are ignored; an empty table gives an empty result.
+    equal vectors are each other's nearest. A query whose lists hold fewer than k others visits all lists; fewer rows than k give what there is; more columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     doubles = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -243,14 +252,21 @@ def nearest(vectors: DataFrame, queries: str, k: int = 5, reach: float = REACH,
     lengths = posted.groupBy("list").count().select("list", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     lengths = save(lengths, "lists")  # a row for each centroid
     posted = posted.join(F.broadcast(lengths), "list").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
-    asked = rows.filter(queries).mapInArrow(_route(shared, reach, width), schema)
-    asked = asked.join(F.broadcast(lengths), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    found = (
-        posted.select("list", "chunk", "vec_id", "embedding", "rid")
-        .groupBy("list", "chunk")
-        .cogroup(asked.select("list", "chunk", "vec_id", "embedding", "rid").groupBy("list", "chunk"))
-        .applyInArrow(_compare(k), "query_rid long, query_id long, rid long, vec_id long, score double")
-    )
+    columns = ["list", "chunk", "vec_id", "embedding", "rid"]
+
+    def compared(asked: DataFrame) -> DataFrame:
+        """The k nearest rows of each (list, chunk) that a query visits."""
+        asked = asked.join(F.broadcast(lengths), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        both = posted.select(*columns).groupBy("list", "chunk").cogroup(asked.select(*columns).groupBy("list", "chunk"))
+        return both.applyInArrow(_compare(k), "query_rid long, query_id long, rid long, vec_id long, score double")
+
+    queried = rows.filter(queries)
+    found = save(compared(queried.mapInArrow(_route(shared, reach, width), schema)).dropDuplicates(["query_rid", "rid"]), "found")
+    enough = found.groupBy("query_rid").count().filter(F.col("count") >= min(k, total - 1)).select(F.col("query_rid").alias("rid"))
+    short = save(queried.join(enough, "rid", "left_anti").select("vec_id", "embedding", "rid"), "short")
+    if total > 1 and not short.isEmpty():  # their lists hold too few others: they visit all lists
+        every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1))).cast("long"))
+        found = found.join(short.select(F.col("rid").alias("query_rid")), "query_rid", "left_anti").unionByName(compared(every).dropDuplicates(["query_rid", "rid"]))
     by_query = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id", "rid")
-    found = found.dropDuplicates(["query_rid", "rid"]).withColumn("rank", F.row_number().over(by_query))
+    found = found.withColumn("rank", F.row_number().over(by_query))
     return found.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
