@@ -5,7 +5,7 @@ Method. A document's set is its distinct n-word shingles. Sets a and b with simi
 K chunks of BINS bins, and each bin keeps the b bits of its least shingle hash. A differing shingle changes one bin, so two such sets
 have signatures at a Hamming distance of k bins at most. By pigeonhole, with K > k chunks, K - k chunks at least agree in all bins, and with
 ``errors = 1`` half as many chunks do, each chunk then being looked up once with each bin left out. Documents that agree in
-a chunk are candidates, and *every* pair within the signature distance is one: no chance is involved.
+a chunk are candidates, and *every* pair within the signature distance is one: no chance is involved. ``errors = 0`` looks chunks up as they are.
 
 Chunks with too few shingles say little, and neither do common shingles (all texts with one licence line would meet there), so chunks with too few
 uncommon shingles are not looked up; a document that is left with too few chunks for the guarantee deals its shingles anew under the next seed too,
@@ -34,10 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.llm import words
-from pulsegrid.llm.shared import connected_components, join_unique, save
+from pulsegrid.llm.shared import connected_components, fresh, join_unique, save
 
 BINS = 4
 BITS = 32
+#: Wrong bins that a chunk may have: the chunk is looked up once with each choice of so many bins left out.
+ERRORS = 1
+#: How many more chunks there are than must agree, and how many uncommon shingles a looked-up chunk is asked for at most.
+SPARE, MOST_SHINGLES = 0.15, 3
 #: Seeds under which uncommon shingles count, and seeds in all: under those between all shingles count.
 RARE_SEEDS, MAX_SEEDS = 3, 8
 #: Shingles in at least COMMON_DOCS of the SAMPLE_DOCS sampled documents (of SAMPLE_SHINGLES at most) are common.
@@ -47,26 +51,36 @@ COMMON_DOCS = 5
 TILE_SHINGLES = 1_000_000
 TILE_DOCS = 5_000
 DOCS_PER_OWNER = 4_000
-FLUSH_KEYS = 4_000_000
+FLUSH_KEYS = 2_000_000
 KEY_BYTES = 5
-_LOOKUPS_SQL = "owner long, nodes binary, counts binary, keys binary"
+_LOOKUPS_SQL = "owner long, nodes binary, counts binary, keys binary, links binary"
+
+
+@lru_cache(maxsize=None)
+def thin_share(mean: float, least: int, errors: int) -> float:
+    """The share of chunks that hold under `least` shingles without their `errors` fullest bins, with `mean` shingles a chunk dealt by chance."""
+    bins = errors * BINS or 1
+    top = 2 * least + 2  # a fuller bin counts as one with so many
+    p = np.exp(-mean / bins) * np.cumprod(np.concatenate([[1.0], mean / bins / np.arange(1, top)]))
+    p = np.append(p, max(0.0, 1 - p.sum()))
+    n = np.indices([top + 1] * bins).reshape(bins, -1)
+    return float(np.prod(p[n], axis=0)[n.sum(0) - (n.max(0) if errors else 0) < least].sum())
 
 
 @lru_cache(maxsize=None)
 def class_plan(size_class: int, percent: int, errors: int) -> tuple[int, int, int]:
     """(chunks, largest size, least shingles of a chunk) for the pairs that meet in a size class.
 
-    A quarter more chunks than must agree. A chunk is looked up with as many shingles as leave the usual set, between the least and the largest of the
+    Some more chunks than must agree. A chunk is looked up with as many shingles as leave the usual set, between the least and the largest of the
     two classes that meet here, enough chunks under the first seed.
     """
     largest = max(1, math.ceil((100 / percent) ** (size_class + 1)) - 1)
     must = chunks_needed(largest, largest, percent, errors)
-    chunks = must + math.ceil(0.25 * must)
+    chunks = must + math.ceil(SPARE * must)
     usual = largest * (percent / 100) ** 1.5
     mean = usual / chunks
     spare = 1 - chunks_needed(int(usual), largest, percent, errors) / chunks
-    thin = lambda least: sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least))
-    fits = [n for n, size in ((3, 10), (2, 4)) if must > size and thin(n) <= 0.95 * spare]
+    fits = [n for n in range(MOST_SHINGLES, 1, -1) if must > 2 * n and thin_share(round(mean, 2), n, errors) <= 0.95 * spare]
     return chunks, largest, max(fits, default=1)
 
 
@@ -124,30 +138,31 @@ def _deal(h, at, counted, todo, classes, seed, percent, errors, rows, keys, last
     base = np.concatenate([[0], np.cumsum(chunks)])
     slot = ((dealt >> np.uint64(32)) * chunks[which].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[which]
     low = words.mix(dealt)
+    counted = counted[hash_at]
+    place = slot * BINS + (low % np.uint64(BINS)).astype(np.int64)
     bins = np.full(base[-1] * BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(bins, slot * BINS + (low & np.uint64(BINS - 1)).astype(np.int64), low)
+    np.minimum.at(bins, place, low)
     signature = (bins >> np.uint64(64 - BITS)).reshape(-1, BINS)
-    held = np.bincount(slot[counted[hash_at]], minlength=base[-1])
+    held = np.bincount(place[counted], minlength=base[-1] * BINS).reshape(-1, BINS)
     row = np.repeat(np.arange(len(todo)), chunks)
-    full = held >= np.maximum(least[row] - errors, 0)  # a chunk with `errors` fewer shingles may be the partner of a full one
     tag = words.mix(
         (np.arange(base[-1]) - base[row]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         + classes[todo][row].astype(np.uint64) * np.uint64(1 << 32)
         + np.uint64(seed)
     )
     parts = [words.mix(signature[:, j] + np.uint64((j + 1) << 40)) for j in range(BINS)]
-    whole = parts[0] + parts[1] + parts[2] + parts[3]
-    picked = [whole] if errors == 0 else [whole - parts[j] + np.uint64(j + 1) for j in range(BINS)]
-    for key in picked:
-        rows.append(todo[row[full]])
-        keys.append(words.mix(key[full] ^ tag[full]))
-    thin = np.bincount(row[held < least[row]], minlength=len(todo))
+    whole = sum(parts[1:], parts[0])
+    # keys, each with the number of counted shingles in the bins that it is made of: a partner that agrees there holds the same ones
+    picked = [(whole, held.sum(1))] if errors == 0 else [(whole - parts[j] + np.uint64(j + 1), held.sum(1) - held[:, j]) for j in range(BINS)]
+    fewest = picked[0][1] if errors == 0 else held.sum(1) - held.max(1)  # whichever bin is left out
+    thin = np.bincount(row[fewest < least[row]], minlength=len(todo))
     again = thin > chunks - chunks_needed(sizes, largest, percent, errors)
-    if last and again.any():  # no seed suits these: their thin chunks are looked up too, so that nothing is missed
-        also = ~full & again[row]
-        for key in picked:
-            rows.append(todo[row[also]])
-            keys.append(words.mix(key[also] ^ tag[also]))
+    # if no seed suits a set, its thin chunks are looked up too, so that nothing is missed
+    every = again[row] if last else np.zeros(len(row), bool)
+    for key, shingles in picked:
+        look = (shingles >= least[row]) | every
+        rows.append(todo[row[look]])
+        keys.append(words.mix(key[look] ^ tag[look]))
     return todo[again]
 
 
@@ -233,7 +248,7 @@ def _common(text: DataFrame, sized: DataFrame, width: int) -> Broadcast:
     return text.sparkSession.sparkContext.broadcast(np.sort(found.view(np.uint64)))
 
 
-_LOOKUPS = pa.schema([("owner", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
+_LOOKUPS = pa.schema([("owner", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("links", pa.binary())])
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -247,21 +262,35 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def _starred(node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once with its least node, and (node, least) of the other nodes with a key, each pair once."""
+    order = np.lexsort((node, key))
+    node, key = node[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    least = np.repeat(node[first], np.diff(np.concatenate([first, [len(key)]])))
+    met = node != least
+    return node[first], key[first], np.unique(np.stack([node[met], least[met]], 1), axis=0)
+
+
 def _lookups(width: int, percent: int, errors: int, owners: int, common: Broadcast):
-    """For each owner of keys one row a flush: nodes, how many of its keys each has, and the keys."""
+    """For each owner of keys one row a flush: nodes, how many of its keys each has, and the keys; and links found within the flush.
+
+    A key goes to its owner once a flush, with the least of its nodes; the others are linked to that one here. So an owner of a key that a third of all
+    documents share receives it from each flush, not from each document.
+    """
 
     def flush(nodes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node, key = np.concatenate(nodes), np.concatenate(keys)
+        node, key, links = _starred(np.concatenate(nodes), np.concatenate(keys))
         owner = (key % np.uint64(owners)).astype(np.int64)
         order = np.lexsort((node, owner))
         node, key, owner = node[order], key[order], owner[order]
         cut = np.flatnonzero(np.diff(owner)) + 1
-        rows = []
+        rows = [(int(links[0, 0] % np.uint64(owners)), b"", b"", b"", links.astype("<u8").tobytes())] if len(links) else []
         for a, b in zip([0, *cut], [*cut, len(owner)]):
             own = node[a:b]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             counts = np.diff(np.concatenate([first, [b - a]])).astype("<u4")
-            rows.append((int(owner[a]), own[first].astype("<u8").tobytes(), counts.tobytes(), pack_keys(key[a:b])))
+            rows.append((int(owner[a]), own[first].astype("<u8").tobytes(), counts.tobytes(), pack_keys(key[a:b]), b""))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LOOKUPS)], schema=_LOOKUPS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,18 +316,15 @@ def _lookups(width: int, percent: int, errors: int, owners: int, common: Broadca
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """(a, b) once: documents of an owner that share a key, each with the least node of the key."""
+    """(a, b) once: documents of an owner that share a key, each with the least node of the key; and the links that came along."""
     nodes = [np.frombuffer(x, "<u8") for x in group.column("nodes").to_pylist()]
     counts = [np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()]
     node = np.concatenate([np.repeat(n, c) for n, c in zip(nodes, counts)])
     key = np.concatenate([unpack_keys(x) for x in group.column("keys").to_pylist()])
-    order = np.lexsort((node, key))
-    node, key = node[order], key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least = np.repeat(node[first], np.diff(np.concatenate([first, [len(key)]])))
-    met = node != least
-    pair = np.unique(np.stack([node[met], least[met]], 1), axis=0)
-    return pa.table({"a": _as_long(pair[:, 0]), "b": _as_long(pair[:, 1])})
+    links = np.concatenate([np.frombuffer(x, "<u8") for x in group.column("links").to_pylist()]).reshape(-1, 2)
+    if len(key):
+        links = np.concatenate([links, _starred(node, key)[2]])
+    return pa.table({"a": _as_long(links[:, 0]), "b": _as_long(links[:, 1])})
 
 
 def _tile(width: int, percent: int):
@@ -324,7 +350,7 @@ def _tile(width: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, errors: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, errors: int = ERRORS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text); more columns are ignored.
 
     Linked: 100 * |a & b| >= percent * |a | b| over distinct `width`-word shingles, A-Z lower-cased; component_id is the least
@@ -366,12 +392,13 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
 
     Of rows equal in doc_id and text one stays. Nulls and empty texts as in near_duplicates(); `__uid` must not be a column of docs.
     """
-    kept = _marked(docs, percent, width, 0, ("root",)).filter("kept")
+    kept = _marked(docs, percent, width, ERRORS, ("root",)).filter("kept")
     alone = F.when(F.col("n_shingles") == 0, F.col("uid"))  # linked with nothing
-    kept = kept.groupBy("root", alone.alias("alone")).agg(F.min("uid").alias("__kept")).select("__kept")
-    rows = docs.join(kept, F.xxhash64("doc_id", "text") == F.col("__kept"), "left_semi")
+    chosen, place = fresh("__kept", docs.columns), fresh("__place", docs.columns)
+    kept = kept.groupBy("root", alone.alias("alone")).agg(F.min("uid").alias(chosen)).select(chosen)
+    rows = docs.join(kept, F.xxhash64("doc_id", "text") == F.col(chosen), "left_semi")
     again = Window.partitionBy(F.xxhash64("doc_id", "text")).orderBy("doc_id")
-    return rows.withColumn("__uid", F.row_number().over(again)).filter("__uid = 1").drop("__uid")
+    return rows.withColumn(place, F.row_number().over(again)).filter(F.col(place) == 1).drop(place)
 
 
 def _confirmed(text: DataFrame, sized: DataFrame, clusters: DataFrame, percent: int, width: int) -> DataFrame:
