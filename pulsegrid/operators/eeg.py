@@ -120,10 +120,11 @@ def band_powers(df: DataFrame, keys: Cols, i: str, t: str, channels: Cols, inval
     @F.pandas_udf("array<double>")
     def powers(x: pd.Series) -> pd.Series:
         given, f, p = _spectra(x, RATE, SEGMENT)
-        out = pd.Series([None] * len(x), dtype=object)
+        out = [None] * len(x)
         if given.any():
-            out[given] = np.stack([dsp.band_power(f, p, *scalar.BANDS[b]) for b in names], 1).tolist()
-        return out
+            for i, own in zip(np.flatnonzero(given), np.stack([dsp.band_power(f, p, *scalar.BANDS[b]) for b in names], 1).tolist()):
+                out[i] = own
+        return pd.Series(out, dtype=object)
 
     parts = []
     for c in channels:

