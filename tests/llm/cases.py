@@ -32,7 +32,9 @@ def documents(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows(), SCHEMA).repartition(3)
-    return df.withColumn("uid", F.lit("x")).withColumn("name", F.lit(1)).withColumn("node", F.lit(2.5)).withColumn("size", F.lit(None).cast("string"))
+    more = {"uid": F.lit("x"), "name": F.lit(1), "node": F.lit(2.5), "size": F.lit(None).cast("string")}
+    names = ("level_0", "whole", "partial", "plan", "__key", "__rules", "__kept", "__place", "block", "owner", "least", "Text_md5", "place", "epochs", "list")
+    return df.withColumns(more | {n: F.lit(n) for n in names})
 
 
 def empty(spark):
