@@ -1,10 +1,14 @@
 """Documents to shards of nearly equal bytes by Karmarkar-Karp differencing; documents with equal texts stay together.
 
 Method. A partial partition is a tuple of bin sizes. A group of equal texts begins as one with a single filled bin; repeatedly the two partial
-partitions with the largest spread are combined in opposite order, the largest bin of one with the smallest of the other. Groups are first
-combined within buckets of bounded size, each in one task; then the buckets' partial partitions are combined in the same way, FAN at a time,
-until one is left, whose bins are the shards. Every step is the same differencing step, so balance isn't lost on the way, and no task
-sees more than a bucket.
+partitions with the largest spread are combined in opposite order, the largest bin of one with the smallest of the other.
+
+That order matters: large groups must meet before small ones level them, so the small ones may not be levelled by themselves before. Groups of over
+1/LARGE of a shard, at most LARGE a shard by arithmetic, therefore wait for the last step. The small ones are dealt by a hash to SCALES scales, each with half the bytes of the one
+before, and within a scale to buckets of bounded size; a bucket's groups are combined to FINE bins a shard, each in one task, and a scale's buckets in the same way, FAN at a time,
+until one partial partition of the scale is left. In the last step the scales' bins, whose sizes fall from a quarter of a shard to less than a
+thousandth, and the large groups are combined one by one: the spread left is about that of the smallest bins. No task sees more than a bucket, or what
+the last step has by arithmetic.
 
 A group is indivisible: one larger than a shard's share makes a shard of its own.
 """
@@ -24,6 +28,7 @@ from pulsegrid.llm.shared import join_unique, save
 
 GROUPS_PER_BUCKET = 20_000
 FAN = 500
+LARGE, SCALES, FINE = 500, 12, 2
 ROWS_PER_SLOT_RANGE = 5_000
 
 
@@ -97,6 +102,17 @@ def _combine(bins: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _last(bins: int) -> Callable[[pa.Table], pa.Table]:
+    """Bins of the scales and large groups to the shards."""
+
+    def run(items: pa.Table) -> pa.Table:
+        items = items.sort_by([("bytes", "descending"), ("scale", "ascending"), ("bin", "ascending"), ("name", "ascending")])
+        found = differencing([[b] for b in items.column("bytes").to_pylist()], bins)
+        return items.append_column("shard", pa.array([f[0] for f in found], pa.int32()))
+
+    return run
+
+
 def shard_by_bytes(docs: DataFrame, shards: int) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs(doc_id, text).
 
@@ -114,23 +130,35 @@ def shard_by_bytes(docs: DataFrame, shards: int) -> DataFrame:
         ),
         "rows",
     )
-    total = rows.count()
-    buckets = max(1, -(-total // GROUPS_PER_BUCKET))
-    groups = rows.groupBy("name").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies"))
-    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("name", F.lit(1)), F.lit(buckets)))
-    placed = groups.groupBy("bucket").applyInArrow(_bucket(shards), "name long, bytes long, copies long, bucket long, bin int")
+    total, everything = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bins, bar = FINE * shards, max(1, everything // (shards * LARGE))
+    groups = save(rows.groupBy("name").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")), "groups")
+    # scale j has about 2^-(j + 1) of the small groups
+    zeros = F.lit(63) - F.floor(F.log2(F.greatest(F.lit(1.0), F.pmod(F.xxhash64("name", F.lit(2)), F.lit(1 << 62)).cast("double") * 2)))
+    wide = [max(1, -(-total // (GROUPS_PER_BUCKET << (j + 1)))) for j in range(SCALES)]
+    small = groups.filter(F.col("bytes") <= bar).withColumn("scale", F.least(zeros, F.lit(SCALES - 1)).cast("int"))
+    buckets = F.element_at(F.array(*[F.lit(w) for w in wide]), F.col("scale") + 1)
+    small = small.withColumn("bucket", F.pmod(F.xxhash64("name", F.lit(1)), buckets))
+    placed = small.groupBy("scale", "bucket").applyInArrow(_bucket(bins), "name long, bytes long, copies long, scale int, bucket long, bin int")
     placed = save(placed, "placed")
-    sums = placed.groupBy("bucket", "bin").agg(F.sum("bytes").alias("bytes"))
-    where = sums.select("bucket", "bin", F.col("bucket").alias("now"), F.col("bin").alias("shard"))
-    while buckets > 1:
+    sums = placed.groupBy("scale", "bucket", "bin").agg(F.sum("bytes").alias("bytes"))
+    where = sums.select("scale", "bucket", "bin", F.col("bucket").alias("now"), F.col("bin").alias("at"))
+    left = max(wide)
+    while left > 1:
         up = sums.withColumn("parent", F.floor(F.col("bucket") / FAN))
-        up = up.groupBy("parent").applyInArrow(_combine(shards), "bucket long, bin int, bytes long, parent long, target int")
+        up = up.groupBy("scale", "parent").applyInArrow(_combine(bins), "scale int, bucket long, bin int, bytes long, parent long, target int")
         up = save(up, "level")
-        step = up.select(F.col("bucket").alias("now"), F.col("bin").alias("shard"), F.col("parent"), F.col("target"))
-        where = where.join(step, ["now", "shard"]).select("bucket", "bin", F.col("parent").alias("now"), F.col("target").alias("shard"))
-        sums = up.groupBy(F.col("parent").alias("bucket"), F.col("target").alias("bin")).agg(F.sum("bytes").alias("bytes"))
-        buckets = -(-buckets // FAN)
-    named = placed.join(where.select("bucket", "bin", "shard"), ["bucket", "bin"]).select("name", "copies", "shard")
+        step = up.select("scale", F.col("bucket").alias("now"), F.col("bin").alias("at"), F.col("parent"), F.col("target"))
+        where = where.join(step, ["scale", "now", "at"]).select("scale", "bucket", "bin", F.col("parent").alias("now"), F.col("target").alias("at"))
+        sums = up.groupBy("scale", F.col("parent").alias("bucket"), F.col("target").alias("bin")).agg(F.sum("bytes").alias("bytes"))
+        left = -(-left // FAN)
+    large = groups.filter(F.col("bytes") > bar)
+    last = sums.select("scale", "bin", F.lit(None).cast("long").alias("name"), "bytes")
+    last = last.unionByName(large.select(F.lit(None).cast("int").alias("scale"), F.lit(None).cast("int").alias("bin"), "name", "bytes"))
+    last = save(last.groupBy().applyInArrow(_last(shards), "scale int, bin int, name long, bytes long, shard int"), "last")
+    of_bin = last.filter("scale is not null").select("scale", F.col("bin").alias("at"), "shard")
+    named = placed.join(where.select("scale", "bucket", "bin", "at"), ["scale", "bucket", "bin"]).join(F.broadcast(of_bin), ["scale", "at"]).select("name", "copies", "shard")
+    named = named.unionByName(large.select("name", "copies").join(F.broadcast(last.filter("scale is null").select("name", "shard")), "name"))
     out = join_unique(rows, save(named, "named"), "name", "copies", "inner")
 
     ranges = max(1, -(-total // (shards * ROWS_PER_SLOT_RANGE)))
