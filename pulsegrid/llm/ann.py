@@ -265,7 +265,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = 5, reach: float = REACH,
     enough = found.groupBy("query_rid").count().filter(F.col("count") >= min(k, total - 1)).select(F.col("query_rid").alias("rid"))
     short = save(queried.join(enough, "rid", "left_anti").select("vec_id", "embedding", "rid"), "short")
     if total > 1 and not short.isEmpty():  # their lists hold too few others: they visit all lists
-        every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1))).cast("long"))
+        every = short.withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(graph.centroids) - 1).cast("long"))))
         found = found.join(short.select(F.col("rid").alias("query_rid")), "query_rid", "left_anti").unionByName(compared(every).dropDuplicates(["query_rid", "rid"]))
     by_query = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id", "rid")
     found = found.withColumn("rank", F.row_number().over(by_query))
