@@ -36,12 +36,12 @@ from pyspark.sql.window import Window
 from pulsegrid.llm import words
 from pulsegrid.llm.shared import connected_components, fresh, join_unique, save
 
-BINS = 4
+BINS = 6
 BITS = 32
-#: Wrong bins that a chunk may have: the chunk is looked up once with each choice of so many bins left out.
+#: Wrong bins that a chunk may have, 0 or 1: the chunk is looked up once with each bin left out.
 ERRORS = 1
 #: How many more chunks there are than must agree, and how many uncommon shingles a looked-up chunk is asked for at most.
-SPARE, MOST_SHINGLES = 0.15, 3
+SPARE, MOST_SHINGLES = 0.08, 3
 #: Seeds under which uncommon shingles count, and seeds in all: under those between all shingles count.
 RARE_SEEDS, MAX_SEEDS = 3, 8
 #: Shingles in at least COMMON_DOCS of the SAMPLE_DOCS sampled documents (of SAMPLE_SHINGLES at most) are common.
@@ -58,13 +58,21 @@ _LOOKUPS_SQL = "owner long, nodes binary, counts binary, keys binary, links bina
 
 @lru_cache(maxsize=None)
 def thin_share(mean: float, least: int, errors: int) -> float:
-    """The share of chunks that hold under `least` shingles without their `errors` fullest bins, with `mean` shingles a chunk dealt by chance."""
-    bins = errors * BINS or 1
-    top = 2 * least + 2  # a fuller bin counts as one with so many
-    p = np.exp(-mean / bins) * np.cumprod(np.concatenate([[1.0], mean / bins / np.arange(1, top)]))
-    p = np.append(p, max(0.0, 1 - p.sum()))
-    n = np.indices([top + 1] * bins).reshape(bins, -1)
-    return float(np.prod(p[n], axis=0)[n.sum(0) - (n.max(0) if errors else 0) < least].sum())
+    """The share of chunks that hold under `least` shingles, with errors without their fullest bin, where `mean` shingles a chunk are dealt by chance."""
+    bins = BINS if errors else 1
+    top = int(mean + 10 * math.sqrt(mean)) + 10
+    p = math.exp(-mean / bins) * np.cumprod(np.concatenate([[1.0], mean / bins / np.arange(1, top + 1)]))
+    if not errors:
+        return float(p[:least].sum())
+
+    def within(most: int, under: int) -> float:
+        """The chance that every bin holds `most` at most, and all together less than `under`."""
+        d = np.ones(1)
+        for _ in range(bins):
+            d = np.convolve(d, p[: most + 1])
+        return float(d[:under].sum())
+
+    return sum(within(m, least + m) - (within(m - 1, least + m) if m else 0.0) for m in range(top + 1))
 
 
 @lru_cache(maxsize=None)
