@@ -26,7 +26,7 @@ def export_csv(df: DataFrame, path: str, name: str, header: bool = True) -> None
     """A result table as text, with the decimals and the text for missing values that its name has."""
     digits = DECIMALS.get(name)
     if digits is not None:
-        df = df.select(*[F.format_string(f"%.{digits}f", c).alias(c) if t == "double" and c not in ("Timestamp", "t") else F.col(c) for c, t in df.dtypes])
+        df = df.select(*[F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", c)).alias(c) if t == "double" and c not in ("Timestamp", "t") else F.col(c) for c, t in df.dtypes])
     df.write.mode("overwrite").option("header", header).option("nullValue", MISSING.get(name, "")).csv(path)
 
 

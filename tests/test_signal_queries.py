@@ -75,3 +75,16 @@ def test_short_sessions_by_their_rules(spark, sf):
     assert len(series("fft_resample", 1)) == 2 and len(series("fft_resample", 31)) == 10
     powers = {n: {r.band: r.power for r in rows} for n, rows in found(spark, sf, "welch_bands").items()}
     assert set(powers[1].values()) == {None} and None not in powers[64].values() and any(powers[31].values())
+
+
+def test_preprocessed_rows(spark):
+    from pulsegrid.operators import eeg
+
+    x = np.random.default_rng(5).normal(size=(600, 2)) + 3 * np.sin(np.arange(600) / 4)[:, None]
+    x[300] = 400
+    df = spark.createDataFrame([("s", i, float(a), float(b), i % 7 == 0) for i, (a, b) in enumerate(x)], "session_id string, i long, a double, b double, invalid boolean")
+    out = eeg.preprocessed(df, ["session_id"], "i", ["a", "b"]).orderBy("i").toPandas()
+    y = eeg.band_pass(x)
+    keep = (np.abs((y - y.mean(0)) / y.std(0)) < 3).all(1)
+    assert 0 < (~keep).sum() < 60 and out.i.tolist() == np.flatnonzero(keep).tolist() and np.allclose(out[["a", "b"]], y[keep])
+    assert out.invalid.tolist() == [i % 7 == 0 for i in np.flatnonzero(keep)]

@@ -196,3 +196,25 @@ def test_many_zones_by_cells_equal_few(spark, monkeypatch):
         many = sorted(map(str, joins.containment_last_wins(points, zones, "seq", "label", y_only).collect()))
         monkeypatch.setattr(joins, "BROADCAST_ROWS", 10_000)
         assert few == many
+
+
+def test_legacy_headset_is_referenced(spark, tmp_path):
+    raw = tmp_path / "s" / "rawData"
+    raw.mkdir(parents=True)
+    raw.joinpath("eeg.csv").write_text("t,a,b,c,d,e,f,g,h\n0,1,2,3,4,10,6,7,8\n4,1,2,3,4,20,6,7,NULL\n")
+    found = src.sessions(spark, str(tmp_path))
+    plain, referenced = (f(spark, found).orderBy("seq").collect() for f in (src.headset, src.legacy_headset))
+    assert [(r.t, r.AF8, r.EAR_R, r.NOSE) for r in plain] == [(0, 1, 10, 8), (4, 1, 20, None)]
+    assert [(r.t, r.AF8, r.EAR_R, r.NOSE) for r in referenced] == [(0, -4, 5, 3), (4, -9, 10, None)]
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([(0.5, 45.123456789, None), (1.0, None, 7.1)], "Timestamp double, Latitude double, Longitude double")
+    sinks.export_csv(df.coalesce(1).orderBy("Timestamp"), f"{tmp_path}/gps", "gpsDf")
+    text = next((tmp_path / "gps").glob("part-*.csv")).read_text().split()
+    assert text == ["Timestamp,Latitude,Longitude", "0.5,45.1234568,NULL", "1.0,NULL,7.1000000"]
+    rows = spark.createDataFrame([("s", 1, 5.0, "MARK", 'say "x"'), ("s", 2, 6.5, "END", "[]")], "session_id string, seq long, ts double, name string, value string")
+    done = events.processed(rows, ["seq"]).coalesce(1).orderBy("seq")
+    sinks.write_headerless(done, f"{tmp_path}/events", ["name", "state", "ms", "extra", "value"])
+    lines_ = next((tmp_path / "events").glob("part-*.csv")).read_text().splitlines()
+    assert lines_ == ["MARK,PROCESSED,5000.0,,say x", "END,PROCESSED,6500.0,,"]

@@ -147,3 +147,19 @@ def test_decoders(spark):
     assert len(w) == 1 and w[0].ppg_mv == pytest.approx(3000) and w[0].eda_kohm == pytest.approx(287 / (2000 * 3 / 4095 / 0.5 - 1))
     m = packets.motion_rows(spark.createDataFrame([("d", bytearray((1000).to_bytes(2, "little") * 9))], "device_id string, packet binary")).first()
     assert m.acc_x == pytest.approx(0.061 * 1000 / 1000)
+
+
+def test_recorded_rows_and_recordings(spark, tmp_path):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("d", start + datetime.timedelta(seconds=s), s) for s in (0, 1, 2, 20, 21, 60)], "device_id string, at timestamp, n long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    q = packets.record(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+    q = live.recordings(stream, "at").writeStream.format("memory").queryName("cut").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp2")
+    q.trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.n for r in spark.table("cut").collect()) == [2, 3]  # the last recording is still open
