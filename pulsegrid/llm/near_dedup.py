@@ -50,8 +50,8 @@ SAMPLE_SHINGLES = 2_000
 COMMON_DOCS = 5
 TILE_SHINGLES = 1_000_000
 TILE_DOCS = 5_000
-DOCS_PER_OWNER = 4_000
-FLUSH_KEYS = 2_000_000
+DOCS_PER_OWNER = 2_000
+FLUSH_KEYS = 1_000_000
 KEY_BYTES = 5
 _LOOKUPS_SQL = "owner long, nodes binary, counts binary, keys binary, links binary"
 
