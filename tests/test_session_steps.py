@@ -43,7 +43,7 @@ def test_artefacts_leave_no_index(spark, folders, tmp_path):
     loud = pipeline.cognition_tables(spark, src.sessions(spark, str(tmp_path)))
     stats = loud["artefactStats"].first()
     assert stats.n_epochs_total == 20 and stats.n_epochs_rejected == stats.n_rejected_by_ptp + stats.n_rejected_by_peak_amp == 3 and stats.pct_samples_flagged == 15.0
-    out = loud["Cognition"].toPandas().set_index("Timestamp")
+    out = loud["Cognition"].toPandas().set_index("Timestamp").sort_index()
     assert out.Engagement.loc[9.0:10.0].isna().all() and out.Engagement.loc[2.0:6.5].notna().all() and out.Engagement.loc[13.0:17.0].notna().all()
     bands = loud["powerBands"].filter("channel = 'T9' and band = 'beta'").toPandas()
     assert bands.power.isna().sum() == 7 and len(bands) == 37  # windows with more than a quarter in those seconds
@@ -79,7 +79,7 @@ def test_every_step_and_its_tables(spark, folders, tmp_path):
     for name, expected in columns.items():
         assert expected <= set(src.result(spark, out, name).columns), name
     assert src.result(spark, out, "eda_gaps") is None and src.result(spark, out, "web_events") is None  # there were none
-    wide = spark.read.parquet(f"{out}/Dataframe").toPandas().set_index("Timestamp")
+    wide = spark.read.parquet(f"{out}/Dataframe").toPandas().set_index("Timestamp").sort_index()
     assert wide.Tag.loc[2.0:10.5].eq("RECORDING_ONSET").all() and wide.Tag.loc[11.0:21.0].eq("MARK").all() and wide.Tag.loc[21.5:].isna().all() and wide.Tag.loc[:1.5].isna().all()
     assert spark.read.parquet(f"{out}/zones").first().ROI == "room" and spark.read.parquet(f"{out}/SCR_events").count() >= 1
     assert src.available_metrics(spark, out, "s1") == ["emotions", "arousal", "cognition", "heartdynamics"]
