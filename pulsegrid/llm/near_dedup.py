@@ -15,7 +15,10 @@ judged by a bounded sample: it saves comparisons, and no result depends on it.
 
 K depends on the size class; a pair spans neighbouring classes at most, so each document is looked up in its own and the next class.
 
-Candidates form clusters (connected components), and links are confirmed within them on full sets, tile by tile: a cluster is
+Candidates form clusters (connected components). One passage that many texts share can chain them into a cluster that grows faster than the table;
+so clusters beyond one block are looked up anew, each on its own, by rare shingles: in any one order of all shingles, two sets of similarity t or more
+share one of the first ``n - ceil(t * n) + 1`` of either. The order is by the number in a sample of these clusters, so what their documents have in
+common comes last, and a cluster falls apart that only this holds together; no result depends on the sample. Links are confirmed within them on full sets, tile by tile: a cluster is
 split into blocks of bounded size, one task compares two blocks through an inverted index, and gives a spanning forest of its links,
 fewer rows than documents. Equal sets are one node from the start. No pair list of a group is ever made.
 """
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pulsegrid.llm import words
-from pulsegrid.llm.shared import connected_components, fresh, join_unique, save
+from pulsegrid.llm.shared import connected_components, discard, fresh, join_unique, save
 
 BINS = 6
 BITS = 32
@@ -50,9 +53,15 @@ SAMPLE_SHINGLES = 2_000
 COMMON_DOCS = 5
 TILE_SHINGLES = 1_000_000
 TILE_DOCS = 5_000
-DOCS_PER_OWNER = 2_000
+DOCS_PER_OWNER = 6_000
 FLUSH_KEYS = 1_000_000
 KEY_BYTES = 5
+#: In lookups a document's name is the upper half of its node's. Nodes of one name, about documents / 2^32 of them, count as candidates of each other.
+NAME_BITS = 32
+#: Clusters beyond one block are looked up anew, so often at most, and while that makes at least half of their comparisons needless.
+REFINEMENTS = 4
+#: 64-bit words of the bitmap that tells which texts have candidates.
+SIFT_WORDS = 1 << 17
 _LOOKUPS_SQL = "owner long, nodes binary, counts binary, keys binary, links binary"
 
 
@@ -174,6 +183,22 @@ def _deal(h, at, counted, todo, classes, seed, percent, errors, rows, keys, last
     return todo[again]
 
 
+def prefix_keys(h: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and lookup key of the first shingles of each set, by their counts and hashes, for its own and the next size class."""
+    sizes = np.diff(at)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    n = np.zeros(len(h), np.int64)
+    if len(common):
+        place = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        n = np.where(common[place] == h, counts[place], 0)
+    mixed = words.mix(h)
+    order = np.lexsort((mixed, n, owner))
+    taken = np.arange(len(h)) - np.repeat(at[:-1], sizes) < np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)
+    row, key = owner[taken], mixed[order][taken]
+    classes = size_classes(sizes, percent)[row].astype(np.uint64)
+    return np.concatenate([row, row]), np.concatenate([words.mix(key + words.mix(classes + np.uint64(up))) for up in (0, 1)])
+
+
 def forest(h: np.ndarray, at: np.ndarray, percent: int, block: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets; with `block`, of those between block 0 and block 1 only."""
     count = len(at) - 1
@@ -246,14 +271,15 @@ def _counted(width: int):
     return run
 
 
-def _common(text: DataFrame, sized: DataFrame, width: int) -> Broadcast:
-    """The common shingles of the sample, sorted: at most SAMPLE_DOCS * SAMPLE_SHINGLES / COMMON_DOCS of them, copies aside."""
-    sample = sized.filter(F.col("n_shingles").between(1, SAMPLE_SHINGLES)).select("uid").distinct()
+def _common(shown: DataFrame, one: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles of the sample, sorted, and their counts: at most SAMPLE_DOCS * SAMPLE_SHINGLES / COMMON_DOCS of them, copies aside."""
+    sample = one.filter(F.col("n") <= SAMPLE_SHINGLES).select("uid")
     sample = sample.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE_DOCS)
-    shown = text.join(F.broadcast(sample), "uid").select(F.coalesce("text", F.lit("")).alias("text"))
-    counted = shown.mapInArrow(_counted(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") >= COMMON_DOCS).select("h").toArrow().column("h").to_numpy()
-    return text.sparkSession.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+    counted = shown.join(F.broadcast(sample), "uid").select("text").mapInArrow(_counted(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") >= COMMON_DOCS).toArrow()
+    common, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(common)
+    return common[order], counts[order]
 
 
 _LOOKUPS = pa.schema([("owner", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("links", pa.binary())])
@@ -271,20 +297,40 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 
 def _starred(node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key once with its least node, and (node, least) of the other nodes with a key, each pair once."""
+    """Each key once with its least name, and pairs of the other names with a key and the least, each once, as name * 2^32 + least."""
     order = np.lexsort((node, key))
     node, key = node[order], key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     least = np.repeat(node[first], np.diff(np.concatenate([first, [len(key)]])))
     met = node != least
-    return node[first], key[first], np.unique(np.stack([node[met], least[met]], 1), axis=0)
+    return node[first], key[first], np.unique(node[met].astype(np.uint64) << np.uint64(32) | least[met])
+
 
+def spanning(pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs of _starred() that connect what all of them do: fewer than names."""
+    names, at = np.unique(pairs.astype("<u8").view("<u4"), return_inverse=True)
+    up = list(range(len(names)))
 
-def _lookups(width: int, percent: int, errors: int, owners: int, common: Broadcast):
-    """For each owner of keys one row a flush: nodes, how many of its keys each has, and the keys; and links found within the flush.
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    A key goes to its owner once a flush, with the least of its nodes; the others are linked to that one here. So an owner of a key that a third of all
-    documents share receives it from each flush, not from each document.
+    keep = []
+    for i, (a, b) in enumerate(at.reshape(-1, 2).tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            up[b] = a
+            keep.append(i)
+    return pairs[np.array(keep, int)]
+
+
+def _lookups(width: int, percent: int, errors: int | None, owners: int, common: Broadcast):
+    """For each owner of keys one row a flush: names, how many of its keys each has, and the keys; and links found within the flush.
+
+    A key goes to its owner once a flush, with the least of its names; the others are linked to that one here. So an owner of a key that a third of all
+    documents share receives it from each flush, not from each document. Texts meet within their `cluster` only, 0 for all; without `errors` by their rare shingles.
     """
 
     def flush(nodes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -293,12 +339,12 @@ def _lookups(width: int, percent: int, errors: int, owners: int, common: Broadca
         order = np.lexsort((node, owner))
         node, key, owner = node[order], key[order], owner[order]
         cut = np.flatnonzero(np.diff(owner)) + 1
-        rows = [(int(links[0, 0] % np.uint64(owners)), b"", b"", b"", links.astype("<u8").tobytes())] if len(links) else []
+        rows = [(int(links[0] % np.uint64(owners)), b"", b"", b"", spanning(links).astype("<u8").tobytes())] if len(links) else []
         for a, b in zip([0, *cut], [*cut, len(owner)]):
             own = node[a:b]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             counts = np.diff(np.concatenate([first, [b - a]])).astype("<u4")
-            rows.append((int(owner[a]), own[first].astype("<u8").tobytes(), counts.tobytes(), pack_keys(key[a:b]), b""))
+            rows.append((int(owner[a]), own[first].astype("<u4").tobytes(), counts.tobytes(), pack_keys(key[a:b]), b""))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LOOKUPS)], schema=_LOOKUPS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,9 +356,11 @@ def _lookups(width: int, percent: int, errors: int, owners: int, common: Broadca
                 _, once = np.unique(node, return_index=True)  # copies are looked up once
                 size = np.diff(at)[once]
                 take = np.repeat(at[once] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                row, key = chunk_keys(h[take], np.concatenate([[0], np.cumsum(size)]), percent, errors, common.value)
-                nodes.append(node[once][row])
-                keys.append(key)
+                sets = h[take], np.concatenate([[0], np.cumsum(size)])
+                row, key = prefix_keys(*sets, percent, *common.value) if errors is None else chunk_keys(*sets, percent, errors, common.value[0])
+                cluster = batch.column("cluster").slice(part.first, part.rows).to_numpy()[once].view(np.uint64)
+                nodes.append((node[once] >> np.uint64(64 - NAME_BITS)).astype(np.uint32)[row])
+                keys.append(key ^ words.mix(cluster)[row])
                 held += len(key)
                 if held >= FLUSH_KEYS:
                     yield from flush(nodes, keys)
@@ -324,15 +372,19 @@ def _lookups(width: int, percent: int, errors: int, owners: int, common: Broadca
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """(a, b) once: documents of an owner that share a key, each with the least node of the key; and the links that came along."""
-    nodes = [np.frombuffer(x, "<u8") for x in group.column("nodes").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()]
-    node = np.concatenate([np.repeat(n, c) for n, c in zip(nodes, counts)])
-    key = np.concatenate([unpack_keys(x) for x in group.column("keys").to_pylist()])
-    links = np.concatenate([np.frombuffer(x, "<u8") for x in group.column("links").to_pylist()]).reshape(-1, 2)
-    if len(key):
-        links = np.concatenate([links, _starred(node, key)[2]])
-    return pa.table({"a": _as_long(links[:, 0]), "b": _as_long(links[:, 1])})
+    """(a, b): links that connect the names of an owner that share a key, and those that came along. Keys are sorted by parts, so that memory is that of a part."""
+    joined = lambda c, kind: np.frombuffer(b"".join(x.as_buffer() for x in group.column(c)), kind)
+    node = np.repeat(joined("nodes", "<u4"), joined("counts", "<u4"))
+    packed = joined("keys", np.uint8).reshape(-1, KEY_BYTES)
+    links = [joined("links", "<u8")]
+    parts = max(1, min(256, -(-len(node) // FLUSH_KEYS)))
+    part = (packed[:, -1].astype(np.uint16) * parts >> 8).astype(np.uint8)
+    for i in range(parts):
+        mine = np.flatnonzero(part == i)
+        if len(mine):
+            links.append(_starred(node[mine], unpack_keys(packed[mine].tobytes()))[2])
+    links = spanning(np.unique(np.concatenate(links)))
+    return pa.table({"a": _as_long(links >> np.uint64(32)), "b": _as_long(links & np.uint64(0xFFFFFFFF))})
 
 
 def _tile(width: int, percent: int):
@@ -378,11 +430,14 @@ def _marked(docs: DataFrame, percent: int, width: int, errors: int, more: tuple[
         ),
         "sized",
     )
-    owners = max(16, -(-docs.count() // DOCS_PER_OWNER))
-    keys = text.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_lookups(width, percent, errors, owners, _common(text, sized, width)), _LOOKUPS_SQL)
-    clusters = connected_components(keys.groupBy("owner").applyInArrow(_meet, "a long, b long"))
-    links = _confirmed(text, sized, clusters, percent, width)
-    roots = connected_components(links)
+    one = sized.filter("n_shingles > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.max("n_shingles").alias("n"))
+    one = save(one.withColumn("name", F.shiftrightunsigned("node", 64 - NAME_BITS)), "one")
+    shown = text.select("uid", F.lit(0).cast("long").alias("cluster"), F.coalesce("text", F.lit("")).alias("text"))
+    members = _candidates(shown, one, percent, width, errors)
+    shown = save(_sifted(shown.drop("cluster"), members).join(members.select("uid", "node"), "uid"), "shown")
+    members = _refined(members, shown, percent, width)
+    roots = connected_components(_confirmed(shown.drop("uid"), members, percent, width))
+    discard(shown)
 
     nodes = sized.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = nodes.join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
@@ -409,27 +464,64 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     return rows.withColumn(place, F.row_number().over(again)).filter(F.col(place) == 1).drop(place)
 
 
-def _confirmed(text: DataFrame, sized: DataFrame, clusters: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b): links between nodes of the clusters, confirmed on full sets; enough of them to connect all that are linked."""
-    one = sized.filter("n_shingles > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.max("n_shingles").alias("n"))
-    members = clusters.select("node", F.col("root").alias("cluster"))
-    roots = clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()
-    members = save(members.unionByName(roots).join(one, "node"), "members")
+def _candidates(shown: DataFrame, one: DataFrame, percent: int, width: int, errors: int | None) -> DataFrame:
+    """(uid, node, n, name, cluster) of the nodes in `one` that have candidates among those of their cluster in shown(uid, cluster, text)."""
+    sent = one.sparkSession.sparkContext.broadcast(_common(shown, one, width))
+    owners = max(16, -(-one.count() // DOCS_PER_OWNER))
+    keys = shown.select("cluster", "text").mapInArrow(_lookups(width, percent, errors, owners, sent), _LOOKUPS_SQL)
+    found = connected_components(keys.groupBy("owner").applyInArrow(_meet, "a long, b long"))
+    found = found.select(F.col("node").alias("name"), F.col("root").alias("cluster"))
+    found = save(found.unionByName(found.select(F.col("cluster").alias("name"), "cluster").distinct()), "found")
+    shared = one.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").join(found, "name", "left_anti")
+    found = found.unionByName(shared.select("name", F.col("name").alias("cluster")))
+    return save(one.select("uid", "node", "n", "name").join(found, "name"), "members")
+
+
+def _sifted(shown: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of `shown` without most of those whose uid no member has, so that a join need not move them: a bitmap of fixed size tells."""
+    word, bit = F.pmod("uid", F.lit(SIFT_WORDS)), F.expr("shiftleft(1L, cast(pmod(shiftright(uid, 40), 64) as int))")
+    bits = save(members.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), "bits")
+    return shown.join(F.broadcast(bits), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0), "left_semi")
+
+
+def _shape(members: DataFrame) -> DataFrame:
+    """docs, sum_n and blocks of each cluster."""
     shape = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("sum_n"))
-    blocks = F.greatest(F.ceil(F.col("docs") / TILE_DOCS), F.ceil(F.col("sum_n") / TILE_SHINGLES))
-    shape = save(shape.select("cluster", "docs", "sum_n", blocks.alias("blocks")), "shape")
+    return shape.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / TILE_DOCS), F.ceil(F.col("sum_n") / TILE_SHINGLES)))
+
+
+def _refined(members: DataFrame, shown: DataFrame, percent: int, width: int) -> DataFrame:
+    """The members, with clusters beyond one block replaced by those of the candidates that they have on their own."""
+    for _ in range(REFINEMENTS):
+        large = save(_shape(members).filter("blocks > 1").select("cluster", "docs", "blocks"), "large")
+        work = large.agg(F.sum(F.col("docs") * F.col("blocks"))).first()[0]
+        if not work:
+            break
+        inside = save(members.join(large.select("cluster"), "cluster"), "inside")
+        texts = shown.select("uid", "node", "text").join(inside.select("node", "cluster"), "node").select("uid", "cluster", "text")
+        texts = save(texts, "texts")
+        split = _candidates(texts, inside.select("uid", "node", "n", "name"), percent, width, None)
+        discard(texts)
+        members = save(members.join(large.select("cluster"), "cluster", "left_anti").unionByName(split.select(members.columns)), "members")
+        if 2 * (_shape(split).filter("blocks > 1").agg(F.sum(F.col("docs") * F.col("blocks"))).first()[0] or 0) > work:
+            break
+    return members
+
+
+def _confirmed(shown: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b): links between nodes of the clusters, confirmed on the full sets of shown(node, text); enough of them to connect all that are linked."""
+    shape = save(_shape(members), "shape")
     small = shape.filter("blocks = 1").agg(F.sum("sum_n"), F.sum("docs")).first()
     bins = max(1, math.ceil((small[0] or 0) / TILE_SHINGLES), math.ceil((small[1] or 0) / TILE_DOCS))
     placed = members.join(shape.select("cluster", "blocks"), "cluster")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = placed.select(
-        "uid",
         "node",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("cluster"),
         "blocks",
         block.alias("block"),
     )
-    tiles = text.join(placed, "uid").select(
+    tiles = shown.join(placed, "node").select(
         "node",
         "text",
         "cluster",

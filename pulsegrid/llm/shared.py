@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +54,26 @@ def _remove(spark: SparkSession, run: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: With it Spark removes the shuffle files of a query as that ends, and not at some later collection of garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
+    """Writes a table to the shared folder and reads it back: lineage ends there, and lost executors lose nothing. Nothing is left of its shuffles."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -113,16 +130,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: a node's larger neighbours go to the least of it and its neighbours
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-        large = join_unique(both.filter("b > a"), save(least.filter("n > 0"), "least"), "a", "n", "inner")
+        first = save(least.filter("n > 0"), "least")
+        large = join_unique(both.filter("b > a"), first, "a", "n", "inner")
         large = save(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "large")
         # small star: a node and its smaller neighbours go to the least of these
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_unique(large, save(least, "least"), "a", "n", "inner")
+        second = save(least, "least")
+        small = join_unique(large, second, "a", "n", "inner")
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         after = save(small.select(F.explode(pairs).alias("e")).select("e.*").filter("a <> b").distinct(), "edges")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if before is not None:
-            discard(before)
+        for done in (first, large, second, *([] if before is None else [before])):
+            discard(done)
         before, now = now, after
         if tuple(mark) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -385,6 +385,54 @@ def test_tiles_find_the_links_of_large_clusters(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == components(table, 85)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6), st.sampled_from([80, 85, 95]))
+def test_linked_sets_share_a_rare_shingle(shared, own_a, own_b, seed, percent):
+    from pulsegrid.llm.near_dedup import prefix_keys
+
+    if 100 * shared < percent * (shared + own_a + own_b):
+        own_a, own_b = min(own_a * (100 - percent) // 200, shared * (100 - percent) // percent), 0
+    rng = np.random.default_rng(seed)
+    h = rng.integers(0, 2**63, shared + own_a + own_b).astype(np.uint64)
+    a, b = np.sort(h[: shared + own_a]), np.sort(np.concatenate([h[:shared], h[shared + own_a :]]))
+    common = np.sort(rng.choice(h, len(h) // 2, replace=False))
+    row, key = prefix_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent, common, rng.integers(5, 9, len(common)))
+    assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
+def test_an_owner_gives_fewer_rows_than_documents(monkeypatch):
+    from pulsegrid.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "FLUSH_KEYS", 50)
+    pairs = [(a, b) for a in range(12) for b in range(a)]  # a key for each pair
+    keys = np.random.default_rng(1).integers(0, 2**64, len(pairs), dtype=np.uint64)
+    key = np.concatenate([keys[[i in p for p in pairs]] for i in range(12)])
+    row = 5, np.arange(12, dtype="<u4").tobytes(), np.full(12, 11, "<u4").tobytes(), near_dedup.pack_keys(key), np.array([12 << 32 | 3], "<u8").tobytes()
+    out = near_dedup._meet(pa.table([[x] for x in row], schema=near_dedup._LOOKUPS)).to_pylist()
+    assert len(out) == 12 and {x for r in out for x in r.values()} == set(range(13))
+
+
+def test_a_cluster_that_one_passage_holds_falls_apart(spark, monkeypatch):
+    from pulsegrid.llm import near_dedup, words
+
+    monkeypatch.setattr(near_dedup, "TILE_DOCS", 10)
+    texts = [f"{prose(77, 20)} {prose(800 + i // 2, 60)}" + " tail" * (i % 2) for i in range(40)]
+    nodes = [int(x) for part in words.slices(pa.array(texts), lower=True) for x in near_dedup.node_of(*words.shingles(part, 5)[1:]).view(np.int64)]
+    shown = spark.createDataFrame(list(zip(nodes, nodes, texts)), "uid long, node long, text string")
+    members = shown.selectExpr("uid", "node", "75L AS n", "shiftrightunsigned(node, 32) AS name", "9L AS cluster")
+    out = near_dedup._refined(members, shown, 85, 5).groupBy("cluster").count().collect()
+    assert [r["count"] for r in out] == [2] * 20
+
+
+def test_documents_of_one_name_are_candidates(spark, monkeypatch):
+    from pulsegrid.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "NAME_BITS", 2)
+    monkeypatch.setattr(near_dedup, "TILE_DOCS", 7)
+    out = near_dedup.near_duplicates(documents(spark), 85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == components(rows(), 85)
+
+
 def test_hot_groups_of_near_copies(spark, monkeypatch):
     from pulsegrid.llm import near_dedup, shared
 
