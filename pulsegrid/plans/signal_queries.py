@@ -99,8 +99,15 @@ def _grouped(spark: SparkSession, sf_dir: str, schema: str, f: Callable[[np.ndar
     return _signal(spark, sf_dir).groupBy("session_id").applyInPandas(run, schema)
 
 
+def _rounded(y: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as SQL does, halves away from zero."""
+    x = y * 10.0**digits
+    whole = np.trunc(x)
+    return np.where(np.abs(x - whole) == 0.5, whole + np.sign(x), np.rint(x)) / 10.0**digits
+
+
 def _series(y: np.ndarray, digits: int = 4) -> pd.DataFrame:
-    return pd.DataFrame({"i": np.arange(len(y)), "y": np.round(y, digits)})
+    return pd.DataFrame({"i": np.arange(len(y)), "y": _rounded(y, digits)})
 
 
 _BAND_PASS = dsp.butter(4, (0.5, 45.0), 250.0, "band")
