@@ -6,6 +6,7 @@ import json
 from bisect import bisect_left, insort
 from collections import deque
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -222,8 +223,8 @@ def argmax_labels(df: DataFrame, keys: Cols, classes: Cols) -> DataFrame:
     return df.select(*keys, top.alias("__top"), F.explode(pairs).alias("x")).select(*keys, "x.emotion", "x.p", (F.col("x.p") == F.col("__top")).alias("active"))
 
 
-def repair_channel(df: DataFrame, keys: Cols, i: str, target: str, coef: dict[str, float], intercept: float, width: float) -> DataFrame:
-    """One channel from the others by regression, values outside 0 to 30 filled linearly."""
+def repair_channel(df: DataFrame, keys: Cols, i: str, target: str, coef: dict[str, float | Decimal], intercept: float, width: float) -> DataFrame:
+    """One channel from the others by regression, values outside 0 to 30 filled linearly. A Decimal times a whole number is exact, as in SQL."""
     score = F.lit(intercept)
     for c, w in coef.items():
         score = score + F.col(c) * w

@@ -56,6 +56,11 @@ def seconds(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))") / 1e6
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded as SQL does, by the scaled number itself; F.round goes by its shortest decimal form."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from pulsegrid.operators import aggregates as agg
 from pulsegrid.operators import emotions as emo
 from pulsegrid.operators import events, joins, position
 from pulsegrid.operators import timeseries as ts
-from pulsegrid.plans.registry import DAY, HOUR, IDX, KEYS, Register, indexed, signal, table
+from pulsegrid.plans.registry import DAY, HOUR, IDX, KEYS, Register, indexed, rounded, signal, table
 from pulsegrid.sources import sessions as src
 from pulsegrid.streaming import packets
 
@@ -562,9 +564,9 @@ def offline_calibration(spark, sf):
  FROM n LEFT JOIN r p ON p.session_id = n.session_id AND p.i = n.pi LEFT JOIN r q ON q.session_id = n.session_id AND q.i = n.ni""")
 def channel_repair_filled(spark, sf):
     """One channel from others by regression, values out of range filled in."""
-    df = indexed(spark, sf).select("session_id", "event_id", "i", F.col("y").alias("a"), F.col("i").cast("double").alias("b"))
-    out = emo.repair_channel(df, KEYS, "i", "target", {"a": 0.2, "b": 0.1}, 0.0, 1000)
-    return out.select("session_id", "event_id", F.round("target", 6).alias("target"))
+    df = indexed(spark, sf).select("session_id", "event_id", "i", F.col("y").alias("a"), F.col("i").alias("b"))
+    out = emo.repair_channel(df, KEYS, "i", "target", {"a": 0.2, "b": Decimal("0.1")}, 0.0, 1000)
+    return out.select("session_id", "event_id", rounded(F.col("target"), 6).alias("target"))
 
 
 @_own("""WITH s AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: abs(x::DOUBLE)) AS r FROM embeddings)
