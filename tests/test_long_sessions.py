@@ -44,3 +44,17 @@ def test_long_signals_are_filtered_precisely():
         exact.append(b[0] * e + z[0])
         z = [p * e - q * exact[-1] + r for p, q, r in zip(b[1:], a[1:], [*z[1:], 0])]
     assert np.abs(y[:, 0] - np.array(exact, float)).max() < 1e-6
+
+
+def test_grids_of_fixes_are_not_joined(spark):
+    from pulsegrid.operators import position
+    from pulsegrid.operators import timeseries as ts
+
+    rows = [("a", 0.0, 1.0, None), ("a", 0.6, None, 5.0), ("a", 1.7, 3.0, 6.0), ("a", 2.0, 2.0, None), ("b", 0.0, 1.0, 1.0), ("b", 0.5, 2.0, 4.0), ("c", 0.0, None, 1.0)]
+    fixes = spark.createDataFrame(rows, "session_id string, t double, latitude double, longitude double")
+    out = position.gps_grid(fixes, ["session_id"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # of edges of buckets
+    one, other = (
+        {(r.session_id, r.i): (r.t, r[c]) for r in ts.resample(fixes, ["session_id"], "t", c, 0.5, None, 600.0, inclusive=True).collect()} for c in ("latitude", "longitude")
+    )
+    assert {(r.session_id, r.i): (r.t, r.latitude, r.longitude) for r in out.collect()} == {k: (*one[k], other[k][1]) for k in one if k in other}
