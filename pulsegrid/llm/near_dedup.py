@@ -21,13 +21,17 @@ share one of the first ``n - ceil(t * n) + 1`` of either. The order is by the nu
 common comes last, and a cluster falls apart that only this holds together; no result depends on the sample. Links are confirmed within them on full sets, tile by tile: a cluster is
 split into blocks of bounded size, one task compares two blocks through an inverted index, and gives a spanning forest of its links,
 fewer rows than documents. Equal sets are one node from the start. No pair list of a group is ever made.
+
+Disk. Of a large table the keys take more room than its texts. As two sets meet in one size class, the classes are looked up in several passes over the texts,
+and a pass's keys go before the next one's come; so do tiles, in rounds that hold about as much text as the documents with candidates have.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,11 @@ TILE_DOCS = 5_000
 DOCS_PER_OWNER = 6_000
 FLUSH_KEYS = 1_000_000
 KEY_BYTES = 5
+#: Passes in which keys are looked up at most, each of so many keys at least; and the shingles of a round of tiles, if those of all documents with candidates aren't more.
+PASSES, PASS_KEYS = 4, 10_000_000
+ROUND_SHINGLES = 40_000_000
+#: Beyond every size class.
+NO_CLASS = 1 << 30
 #: In lookups a document's name is the upper half of its node's. Nodes of one name, about documents / 2^32 of them, count as candidates of each other.
 NAME_BITS = 32
 #: Clusters beyond one block are looked up anew, so often at most, and while that makes at least half of their comparisons needless.
@@ -125,9 +134,9 @@ def node_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(
-    h: np.ndarray, at: np.ndarray, percent: int, errors: int, common: np.ndarray = np.zeros(0, np.uint64)
+    h: np.ndarray, at: np.ndarray, percent: int, errors: int, common: np.ndarray = np.zeros(0, np.uint64), first: int = 0, end: int = NO_CLASS
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Row and lookup key of every chunk that is looked up, for sets given as hashes and offsets; `common` is sorted."""
+    """Row and lookup key of every chunk that is looked up in the size classes from `first` to before `end`, for sets given as hashes and offsets; `common` is sorted."""
     sizes = np.diff(at)
     rare = np.ones(len(h), bool)
     if len(common):
@@ -135,7 +144,7 @@ def chunk_keys(
     own = size_classes(sizes, percent)
     rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for up in (0, 1):
-        todo = np.flatnonzero(sizes > 0)
+        todo = np.flatnonzero((sizes > 0) & (own + up >= first) & (own + up < end))
         for seed in range(MAX_SEEDS):
             if not len(todo):
                 break
@@ -326,11 +335,12 @@ def spanning(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.array(keep, int)]
 
 
-def _lookups(width: int, percent: int, errors: int | None, owners: int, common: Broadcast):
+def _lookups(width: int, percent: int, errors: int | None, owners: int, common: Broadcast, first: int = 0, end: int = NO_CLASS):
     """For each owner of keys one row a flush: names, how many of its keys each has, and the keys; and links found within the flush.
 
     A key goes to its owner once a flush, with the least of its names; the others are linked to that one here. So an owner of a key that a third of all
-    documents share receives it from each flush, not from each document. Texts meet within their `cluster` only, 0 for all; without `errors` by their rare shingles.
+    documents share receives it from each flush, not from each document. Texts meet within their `cluster` only, 0 for all, and in the size classes from `first`
+    to before `end`; without `errors` by their rare shingles, in all classes.
     """
 
     def flush(nodes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +352,9 @@ def _lookups(width: int, percent: int, errors: int | None, owners: int, common:
         rows = [(int(links[0] % np.uint64(owners)), b"", b"", b"", spanning(links).astype("<u8").tobytes())] if len(links) else []
         for a, b in zip([0, *cut], [*cut, len(owner)]):
             own = node[a:b]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            counts = np.diff(np.concatenate([first, [b - a]])).astype("<u4")
-            rows.append((int(owner[a]), own[first].astype("<u4").tobytes(), counts.tobytes(), pack_keys(key[a:b]), b""))
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            counts = np.diff(np.concatenate([start, [b - a]])).astype("<u4")
+            rows.append((int(owner[a]), own[start].astype("<u4").tobytes(), counts.tobytes(), pack_keys(key[a:b]), b""))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _LOOKUPS)], schema=_LOOKUPS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +364,15 @@ def _lookups(width: int, percent: int, errors: int | None, owners: int, common:
                 _, h, at = words.shingles(part, width)
                 node = node_of(h, at)
                 _, once = np.unique(node, return_index=True)  # copies are looked up once
+                if errors is not None:
+                    own = size_classes(np.diff(at), percent)[once]
+                    once = once[(own + 1 >= first) & (own < end)]
+                if not len(once):
+                    continue
                 size = np.diff(at)[once]
                 take = np.repeat(at[once] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 sets = h[take], np.concatenate([[0], np.cumsum(size)])
-                row, key = prefix_keys(*sets, percent, *common.value) if errors is None else chunk_keys(*sets, percent, errors, common.value[0])
+                row, key = prefix_keys(*sets, percent, *common.value) if errors is None else chunk_keys(*sets, percent, errors, common.value[0], first, end)
                 cluster = batch.column("cluster").slice(part.first, part.rows).to_numpy()[once].view(np.uint64)
                 nodes.append((node[once] >> np.uint64(64 - NAME_BITS)).astype(np.uint32)[row])
                 keys.append(key ^ words.mix(cluster)[row])
@@ -467,9 +482,14 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
 def _candidates(shown: DataFrame, one: DataFrame, percent: int, width: int, errors: int | None) -> DataFrame:
     """(uid, node, n, name, cluster) of the nodes in `one` that have candidates among those of their cluster in shown(uid, cluster, text)."""
     sent = one.sparkSession.sparkContext.broadcast(_common(shown, one, width))
-    owners = max(16, -(-one.count() // DOCS_PER_OWNER))
-    keys = shown.select("cluster", "text").mapInArrow(_lookups(width, percent, errors, owners, sent), _LOOKUPS_SQL)
-    found = connected_components(keys.groupBy("owner").applyInArrow(_meet, "a long, b long"))
+    nodes, met = one.count(), []
+    for first, end, share in [(0, NO_CLASS, 1.0)] if errors is None else _passes(one, percent, errors):
+        owners = max(16, math.ceil(nodes * share / DOCS_PER_OWNER))
+        keys = shown.select("cluster", "text").mapInArrow(_lookups(width, percent, errors, owners, sent, first, end), _LOOKUPS_SQL)
+        met.append(save(keys.groupBy("owner").applyInArrow(_meet, "a long, b long"), "met"))
+    found = connected_components(reduce(DataFrame.unionByName, met))
+    for done in met:
+        discard(done)
     found = found.select(F.col("node").alias("name"), F.col("root").alias("cluster"))
     found = save(found.unionByName(found.select(F.col("cluster").alias("name"), "cluster").distinct()), "found")
     shared = one.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").join(found, "name", "left_anti")
@@ -477,6 +497,28 @@ def _candidates(shown: DataFrame, one: DataFrame, percent: int, width: int, erro
     return save(one.select("uid", "node", "n", "name").join(found, "name"), "members")
 
 
+def _passes(one: DataFrame, percent: int, errors: int) -> list[tuple[int, int, float]]:
+    """(first, end, share): the size classes that each pass looks up, every class in one of them, and its share of the keys. Classes and keys are
+    estimated here, which decides only where passes end.
+    """
+    keys: Counter[int] = Counter()
+    sizes = one.groupBy(F.floor(F.ln("n") / math.log(100 / percent)).cast("int").alias("c")).agg(F.count("*"))
+    for own, docs in sizes.collect():
+        for c in (own, own + 1):
+            keys[c] += docs * class_plan(c, percent, errors)[0] * (BINS if errors else 1)
+    total = sum(keys.values())
+    count = max(1, min(PASSES, total // PASS_KEYS))
+    shares, before = Counter(), 0
+    starts: dict[int, int] = {}
+    for c in sorted(keys):
+        at = (2 * before + keys[c]) * count // (2 * total)
+        starts.setdefault(at, c)
+        shares[at] += keys[c] / total
+        before += keys[c]
+    firsts = [0, *list(starts.values())[1:]]
+    return list(zip(firsts, [*firsts[1:], NO_CLASS], list(shares.values()) or [1.0]))
+
+
 def _sifted(shown: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of `shown` without most of those whose uid no member has, so that a join need not move them: a bitmap of fixed size tells."""
     word, bit = F.pmod("uid", F.lit(SIFT_WORDS)), F.expr("shiftleft(1L, cast(pmod(shiftright(uid, 40), 64) as int))")
@@ -533,4 +575,9 @@ def _confirmed(shown: DataFrame, members: DataFrame, percent: int, width: int) -
         "node", "text", F.concat_ws(":", "(blocks > 1)", "cluster").alias("cluster"), "block",
         F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"),
     )
-    return tiles.groupBy("cluster", "ti", "tj").applyInArrow(_tile(width, percent), "a long, b long")
+    mine, compared = shape.agg(F.sum("sum_n"), F.sum(F.col("sum_n") * F.col("blocks"))).first()
+    rounds = max(1, math.ceil((compared or 0) / max(mine or 0, ROUND_SHINGLES)))
+    turn, links = F.pmod(F.xxhash64("cluster", "ti", "tj"), F.lit(rounds)), []
+    for i in range(rounds):
+        links.append(save(tiles.filter(turn == i).groupBy("cluster", "ti", "tj").applyInArrow(_tile(width, percent), "a long, b long"), "links"))
+    return reduce(DataFrame.unionByName, links)

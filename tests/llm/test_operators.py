@@ -445,6 +445,39 @@ def test_hot_groups_of_near_copies(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == components(table, 85)
 
 
+@pytest.mark.parametrize("errors", [0, 1])
+def test_passes_look_every_key_up_once(spark, monkeypatch, errors):
+    from pulsegrid.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "PASS_KEYS", 100)
+    sizes = [*range(1, 400, 7)] * 3
+    one = spark.createDataFrame([(n,) for n in sizes], "n int")
+    passes = near_dedup._passes(one, 85, errors)
+    assert len(passes) == near_dedup.PASSES and sum(p[2] for p in passes) == pytest.approx(1) and max(p[2] for p in passes) < 0.4
+    assert [p[0] for p in passes] == [0, *[p[1] for p in passes[:-1]]] and passes[-1][1] == near_dedup.NO_CLASS
+    assert near_dedup._passes(one.limit(0), 85, errors) == [(0, near_dedup.NO_CLASS, 1.0)]
+    h, at = np.random.default_rng(3).integers(0, 2**63, sum(sizes)).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    keys = lambda *span: Counter(zip(*[x.tolist() for x in near_dedup.chunk_keys(h, at, 85, errors, h[:0], *span)]))
+    each = [keys(*p[:2]) for p in passes]
+    assert sum(each, Counter()) == keys() and max(sum(x.values()) for x in each) < 0.45 * sum(keys().values())
+
+
+def test_keys_and_tiles_in_several_turns(spark, monkeypatch):
+    from pulsegrid.llm import near_dedup
+
+    saved, save = Counter(), near_dedup.save
+    monkeypatch.setattr(near_dedup, "save", lambda df, name: (saved.update([name]), save(df, name))[1])
+    monkeypatch.setattr(near_dedup, "PASS_KEYS", 200)
+    monkeypatch.setattr(near_dedup, "ROUND_SHINGLES", 100)
+    monkeypatch.setattr(near_dedup, "TILE_DOCS", 7)
+    monkeypatch.setattr(near_dedup, "REFINEMENTS", 0)
+    base = prose(9, 200).split()
+    table = [(100 - i, " ".join([*base[: i * 4], f"w{i}", *base[i * 4 + 1 :]]), "en", "s", 1) for i in range(40)] + [(*r[:2], "en", "s", 1) for r in rows()]
+    out = near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n long"), 85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == components(table, 85)
+    assert saved["met"] > 1 and saved["links"] > 1
+
+
 def test_keep_one(spark):
     from pulsegrid.llm.near_dedup import keep_one
 
